@@ -1,0 +1,248 @@
+"""Personal data by weak supervision, in DataFrame operations alone.
+
+Base spans come from fixed patterns and checks. Besides, looser patterns give
+candidates. On every candidate six labelers vote for, against, or not at all:
+pattern, validity (checksum, ranges, domain gazetteer), cue words in front,
+signs of a secret, edges, and variety of the digits. Expectation-maximisation
+over the counted vote patterns estimates how reliable each labeler is for each
+kind, without any labelled data. The posteriors then train a logistic span
+classifier on the votes and the span's shape; candidates that it accepts, and
+that overlap no base span, are added.
+
+What reaches the driver are counts of vote and shape patterns, at most a few
+thousand rows by construction, whatever the corpus.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..runtime import Workspace
+
+KINDS = ("email", "ip", "card", "phone")
+LABELERS = ("pattern", "validity", "cue", "secret", "edges", "variety")
+
+#: Candidates by kind. The first four find all base matches: possessive
+#: quantifiers and look-behinds only spare retries that can't succeed, and runs
+#: of digits that are no card's length are passed over as they'd be dropped.
+PATTERNS = {
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "email_loose": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)++",
+    "phone_loose": r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
+}
+#: Without one of these no pattern matches, so most texts are passed over quickly.
+GATE = {"email": "@", "ip": ".", "card": None, "phone": "+", "email_loose": "at", "phone_loose": None}
+#: Cue words of the context labeler, and ends of domains that the gazetteer holds.
+CUES = {
+    "email": r"(?:e-?mail|contact|write|correo|courriel|kontakt)\W*$",
+    "ip": r"(?:\bip|host|server|address|addr|adresse|direcci)\w*\W*$",
+    "card": r"(?:card|visa|mastercard|amex|carte|karte|tarjeta|kreditkarte)\W*$",
+    "phone": r"(?:tel|telefon|phone|call|fax|mobile|cell|tél|teléfono|handy)\w*\W*$",
+}
+DOMAINS = r"(?i)[.)\]\x20](?:com|org|net|edu|gov|io|info|biz|de|fr|es|uk|eu|co)$"
+SECRET = r"(?i)(?:token|secret|key|passw\w*|hash|sha\d*)\W{0,6}\w*$"
+#: Characters kept on either side of a candidate.
+LEFT = 32
+#: Digits at most: `[0-9 -]` longer than that is no card.
+OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.|$)){4}$"
+
+
+def _found(text: Column, source: str) -> tuple[Column, Column]:
+    """Matches of a pattern, and the pieces around them."""
+    pattern, gate = PATTERNS[source], GATE[source]
+    has = F.contains(text, F.lit(gate)) if gate else text.rlike("[0-9]")
+    none = F.array().cast("array<string>")
+    return F.when(has, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(has, F.split(text, pattern, -1)).otherwise(none)
+
+
+def _digits(c: Column) -> Column:
+    return F.regexp_replace(c, "[^0-9]", "")
+
+
+def _starts(m: Column, p: Column) -> Column:
+    """Where each match begins: what stands before it, summed up."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, i: Column) -> Column:
+        start = acc["at"] + F.length(F.get(p, i))
+        return F.struct((start + F.length(F.get(m, i))).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
+
+    indices = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(indices, zero, step, lambda acc: acc["starts"])
+
+
+def _candidates(docs: DataFrame) -> DataFrame:
+    """doc_id and, for each source of candidates, an array of (start, end, match, left, right)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    maybe = F.col("text").rlike(r"[0-9@]|\((?:at)\)|\[(?:at)\]")
+    df = df.select("doc_id", F.when(maybe, F.col("text")).otherwise(F.lit("")).alias("text"))
+    df = df.select("doc_id", *[c.alias(f"{s}_{k}") for s in PATTERNS for k, c in zip("mp", _found(F.col("text"), s))])
+    out = []
+    for s in PATTERNS:
+        out.append(_starts(F.col(f"{s}_m"), F.col(f"{s}_p")).alias(f"{s}_s"))
+    df = df.select("*", *out)
+
+    def spans(s: str) -> Column:
+        m, p, starts = F.col(f"{s}_m"), F.col(f"{s}_p"), F.col(f"{s}_s")
+        return F.transform(
+            m,
+            lambda x, i: F.struct(
+                F.get(starts, i).alias("start"),
+                (F.get(starts, i) + F.length(x)).alias("end"),
+                x.alias("match"),
+                F.substring(F.get(p, i), -LEFT, LEFT).alias("left"),
+                F.substring(F.get(p, i + 1), 1, 1).alias("right"),
+            ),
+        ).alias(s)
+
+    return df.select("doc_id", *[spans(s) for s in PATTERNS])
+
+
+def _valid(kind: str, x: Column) -> Column:
+    """The check of the base definition."""
+    n = F.length(_digits(x["match"]))
+    return {
+        "email": F.lit(True),
+        "ip": x["match"].rlike(OCTETS),
+        "card": (n >= 13) & (n <= 19) & F.call_function("luhn_check", _digits(x["match"])),
+        "phone": (n >= 9) & (n <= 15),
+    }[kind]
+
+
+def _vote(yes: Column, no: Column) -> Column:
+    """2 for, 1 no opinion, 0 against."""
+    return F.when(yes, 2).when(no, 0).otherwise(1)
+
+
+def _labelled(kind: str, x: Column, base: Column, strict: bool) -> Column:
+    digits = _digits(x["match"])
+    n = F.length(digits)
+    before = F.substring(x["left"], -1, 1)
+    if kind == "email":
+        validity = _vote(x["match"].rlike(DOMAINS), F.lit(False))
+        variety = F.lit(1)
+    else:
+        validity = _vote(F.coalesce(_valid(kind, x), F.lit(False)), ~F.coalesce(_valid(kind, x), F.lit(False)))
+        variety = _vote(digits.rlike(r"^(?!(\d)\1*$)"), digits.rlike(r"^(\d)\1*$"))
+    joined = before.rlike(r"[\p{L}\p{N}_]") | x["right"].rlike(r"[\p{L}\p{N}_]")
+    votes = [
+        F.lit(2 if strict else 1),
+        validity,
+        _vote(F.lower(x["left"]).rlike(CUES[kind]), F.lit(False)),
+        _vote(F.lit(False), x["left"].rlike(SECRET) | (F.lit(kind != "email") & before.rlike(r"[A-Za-z]"))),
+        _vote(~joined, joined),
+        variety,
+    ]
+    pattern = sum((v * 3**i for i, v in enumerate(votes)), F.lit(0))
+    long = F.when(F.length(x["match"]) < 10, 0).when(F.length(x["match"]) < 16, 1).when(F.length(x["match"]) < 24, 2).otherwise(3)
+    shape = long * 4 + F.when(x["match"].rlike(r"[\x20().-]"), 1).otherwise(0) * 2 + F.when(n >= 9, 1).otherwise(0)
+    return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), base.alias("base"), pattern.cast("int").alias("votes"), shape.cast("int").alias("shape"))
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, spans: kind, start, end (code points), base, votes and shape as numbers."""
+    df = _candidates(docs)
+
+    def spans(source: str, kind: str, strict: bool) -> Column:
+        base = lambda x: F.coalesce(_valid(kind, x), F.lit(False)) if strict else F.lit(False)
+        return F.transform(F.col(source), lambda x: _labelled(kind, x, base(x), strict))
+
+    sources = [(k, k, True) for k in KINDS] + [("email_loose", "email", False), ("phone_loose", "phone", False)]
+    return df.select("doc_id", F.concat(*[spans(*x) for x in sources]).alias("spans"))
+
+
+def digits_of(votes: int) -> list[int]:
+    return [votes // 3**i % 3 for i in range(len(LABELERS))]
+
+
+def estimate(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
+    """Expectation-maximisation of a two-class model with independent labelers: posterior of each vote pattern."""
+    prior = 0.5
+    share = [[[0.6, 0.3, 0.1], [0.1, 0.3, 0.6]] for _ in LABELERS]  # by class: of votes against, none, for
+    posterior: dict[int, float] = {}
+    for _ in range(rounds):
+        for v in counts:
+            logit = math.log(prior / (1 - prior)) + sum(math.log(share[i][1][d] / share[i][0][d]) for i, d in enumerate(digits_of(v)))
+            posterior[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, logit))))
+        total, mass = sum(counts.values()), sum(n * posterior[v] for v, n in counts.items())
+        prior = (mass + 1) / (total + 2)
+        for i in range(len(LABELERS)):
+            for c in (0, 1):
+                by = [2 * p for p in ([0.6, 0.3, 0.1], [0.1, 0.3, 0.6])[c]]  # a weak belief that labelers are better than chance
+                for v, n in counts.items():
+                    by[digits_of(v)[i]] += n * (posterior[v] if c else 1 - posterior[v])
+                share[i][c] = [x / sum(by) for x in by]
+    return posterior
+
+
+def _inputs(kind: str, votes: int, shape: int) -> list[float]:
+    return [float(kind == k) for k in KINDS] + [d - 1.0 for d in digits_of(votes)] + [float(shape // 4 == k) for k in range(4)] + [float(shape >> 1 & 1), float(shape & 1)]
+
+
+def train(rows: list[tuple[str, int, int, int]], rounds: int = 300) -> list[float]:
+    """Weights of the span classifier, from (kind, votes, shape, count): logistic regression on the posteriors."""
+    by_kind: dict[str, dict[int, int]] = {}
+    for kind, votes, _, n in rows:
+        of = by_kind.setdefault(kind, {})
+        of[votes] = of.get(votes, 0) + n
+    posterior = {k: estimate(c) for k, c in by_kind.items()}
+    xs = [_inputs(k, v, s) for k, v, s, _ in rows]
+    ys = [posterior[k][v] for k, v, _, _ in rows]
+    weight = [math.log1p(n) for *_, n in rows]
+    total = sum(weight) or 1.0
+    w = [0.0] * len(_inputs("email", 0, 0))
+    for _ in range(rounds):
+        g = [1e-3 * a for a in w]
+        for x, y, c in zip(xs, ys, weight):
+            z = sum(a * b for a, b in zip(w, x))
+            d = c / total * (1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) - y)
+            for i, b in enumerate(x):
+                if b:
+                    g[i] += d * b
+        w = [a - 1.5 * b for a, b in zip(w, g)]
+    return w
+
+
+def _logit(x: Column, w: list[float]) -> Column:
+    n = len(LABELERS)
+    parts = [F.when(x["kind"] == k, F.lit(w[i])).otherwise(F.lit(0.0)) for i, k in enumerate(KINDS)]
+    parts += [F.lit(w[len(KINDS) + i]) * (F.floor(x["votes"] / F.lit(3**i)) % 3 - 1) for i in range(n)]
+    at = len(KINDS) + n
+    parts += [F.when(F.floor(x["shape"] / 4) == k, F.lit(w[at + k])).otherwise(F.lit(0.0)) for k in range(4)]
+    parts += [F.lit(w[at + 4]) * (F.floor(x["shape"] / 2) % 2), F.lit(w[at + 5]) * (x["shape"] % 2)]
+    return sum(parts[1:], parts[0])
+
+
+def _joined(spans: Column) -> Column:
+    order = F.transform(spans, lambda x: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), x["kind"]).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
+    return F.array_join(F.transform(F.array_sort(order), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def find_personal_data(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """doc_id, counts of base spans, base_sha256, spans (base and added), added (how many).
+
+    Null text: empty, no spans. Null doc_id and repeated rows: each row has its
+    result. Empty table: no rows. Other columns take no part. Nothing is
+    shuffled but counts of patterns.
+    """
+    found = ws.put("candidates", candidates(docs))
+    patterns = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.shape").count().orderBy("kind", "votes", "shape")
+    w = train([tuple(r) for r in patterns.collect()])
+    base = F.filter("spans", lambda x: x["base"])
+    df = found.select("doc_id", "spans", base.alias("base"))
+    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    df = df.select("doc_id", "base", F.filter("spans", lambda x: ~x["base"] & (_logit(x, w) >= 0) & free(x)).alias("more"))
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return df.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"), F.size("more").alias("added"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(Workspace(spark, "pii"), spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrain.llm import exact_dedup, language_id, packing
+from citegrain.llm import exact_dedup, language_id, mixing, near_dedup, packing
 from citegrain.runtime import Workspace
 
 
@@ -15,6 +15,8 @@ def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("language_id", language_id.stage_language),
     ("exact_dedup", exact_dedup.stage_exact_dedup),
+    ("near_dedup", near_dedup.stage_near_dedup),
+    ("mixing", mixing.stage_mixing),
     ("packing", stage_packing),
 ]
 
