@@ -24,6 +24,9 @@ FILENAME = rf"\A({KEBAB})_({KEBAB})_({KEBAB})_v([0-9]+(?:\.[0-9]+)*)_([a-z]{{2}}
 FILENAME_PARTS = ("vendor", "product", "doctype", "doc_version", "lang")
 #: A pointer to a section: source, then a number after the section sign, then a quoted title.
 POINTER = r'^\s*(\S+?)(?:\s*§\s*([^\s"“”]+))?(?:\s*["“]([^"”]*)["”])?\s*$'
+#: A printed heading with its number, and a contents line: number, title, page.
+SECTION = r"^\(?(\d+(?:\.\d+)*)\)?[.\s]\s*(\S.*)$"
+CONTENTS = r"^\(?(\d+(?:\.\d+)*)?\)?\s*(\S.*?)[\s.]{3,}(\d+)$"
 # ------------------------------------------------------------------------
 
 
@@ -80,12 +83,12 @@ def plain_key(c: Column) -> Column:
 
 def furniture_key(c: Column) -> Column:
     """Two running heads are one if they differ in numbers alone."""
-    return F.regexp_replace(folded(collapse(c)), r"(?U)\d+", "#")
+    return F.regexp_replace(folded(collapse(c)), r"[0-9]+", "#")
 
 
 def font_family(c: Column) -> Column:
-    """A font's name without its subset tag, folded to letters and digits."""
-    return F.regexp_replace(folded(F.regexp_replace(c, r"^[A-Z]{6}\+", "")), r"(?U)[^\p{Alnum}]", "")
+    """A font's name without its subset tag, folded to a-z and digits."""
+    return F.regexp_replace(folded(F.regexp_replace(c, r"^[A-Z]{6}\+", "")), r"[^a-z0-9]", "")
 
 
 def revision_alnum(c: Column) -> Column:
@@ -143,15 +146,18 @@ def pointer_key(p: Column) -> Column:
 
 def section_number(c: Column) -> Column:
     """Struct (number, title) of a printed heading such as `24.1 Title` or `(1.3.1) Title`."""
-    shape = r"^\s*(?:\((\d+(?:\.\d+)*)\)|(\d+(?:\.\d+)*)\.?)\s+(\S.*)$"
-    number = F.nullif(F.concat(F.regexp_extract(c, shape, 1), F.regexp_extract(c, shape, 2)), F.lit(""))
-    return F.struct(number.alias("number"), F.when(number.isNotNull(), F.trim(F.regexp_extract(c, shape, 3))).otherwise(F.trim(c)).alias("title"))
+    numbered = F.trim(c).rlike(SECTION)
+    return F.struct(
+        F.when(numbered, F.regexp_extract(F.trim(c), SECTION, 1)).alias("number"),
+        F.when(numbered, F.trim(F.regexp_extract(F.trim(c), SECTION, 2))).otherwise(F.trim(c)).alias("title"),
+    )
 
 
 def contents_line(c: Column) -> Column:
-    """Struct (title, page) of a contents line with dot leaders; null for other lines."""
-    shape = r"^\s*(\S.*?)[\s.·…]*(?:\.\s*){3,}\s*(\d+)\s*$"
-    return F.when(c.rlike(shape), F.struct(F.trim(F.regexp_extract(c, shape, 1)).alias("title"), F.regexp_extract(c, shape, 2).cast("int").alias("page")))
+    """Struct (number, title, page) of a contents line with dot leaders; null for other lines."""
+    line = F.trim(c)
+    part = lambda i: F.regexp_extract(line, CONTENTS, i)
+    return F.when(line.rlike(CONTENTS), F.struct(F.nullif(part(1), F.lit("")).alias("number"), F.trim(part(2)).alias("title"), part(3).cast("int").alias("page")))
 
 
 def is_numeric_cell(c: Column) -> Column:
