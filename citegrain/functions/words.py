@@ -1,7 +1,5 @@
 """Text rules that need Python: normal form C, capitalised runs, close matches. Arrow batches, never rows."""
 
-from __future__ import annotations
-
 import difflib
 import re
 import unicodedata
@@ -10,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[A-Za-z][A-Za-z0-9'\-]*")
@@ -24,7 +23,7 @@ def canonical_text(text: str) -> str:
     return _SPACE.sub(" ", unicodedata.normalize("NFC", text)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(canonical_text, na_action="ignore")
 
@@ -91,17 +90,17 @@ def looks_factual(text: str) -> bool:
     return any(" " in r or "\t" in r for _, r in capital_runs(text)) or bool(_NUMBER.search(text)) or bool(_MENU.search(text))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def fact_shaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: looks_factual(t or ""))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def capitalised_runs(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [r for _, r in capital_runs(t or "")])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def close_matches(typed: pd.Series, known: pd.Series) -> pd.Series:
     """Up to three of the known strings that resemble the typed one, best first."""
     return pd.Series([[] if t is None or k is None else difflib.get_close_matches(t, list(k), n=3, cutoff=0.6) for t, k in zip(typed, known)])
