@@ -9,11 +9,12 @@ but for 5 in a million.
 
 Documents with equal shingle sets are one class from the start. In each bucket
 of a band the member with the most company is the hub; every class is compared
-with its best hub on full sets. What hubs link is merged; a bucket that still
-holds several components is compared in full, in blocks, by signatures, and
-pairs whose estimate is above 0.55 (five standard deviations below 0.75) are
-confirmed on full sets. So neither a bucket's pairs are listed, nor a link lost
-because a hub lies between two others.
+with its best hub on full sets, which is linear and merges most of any group.
+Buckets chain classes into clusters. In a cluster that still holds several
+components, the members outside the largest one are compared with all others,
+block by block, by exact overlaps from an inverted index; only links that join
+components come out. So no pairs are listed, and no link is lost because a hub
+doesn't lie between two others.
 """
 
 from __future__ import annotations
@@ -33,15 +34,13 @@ from .shingles import shingle_set
 PERMUTATIONS, BANDS = 64, 32
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-#: Signature values that must agree, of 128, before full sets are compared.
-LEAST_AGREEING = 70
-#: Members of a bucket in one block; pairs of blocks are compared by separate groups.
-BLOCK = 2048
+#: Shingles of one block; a larger cluster is compared block by block, in separate groups.
+BLOCK_SHINGLES = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 2**31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, PERMUTATIONS, np.uint32)
 
-FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -72,25 +71,23 @@ def _bands(sig: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Set size, a digest of the set, band keys and an 8-bit sketch of the signature; nulls where the set is empty."""
+    """Set size, a digest of the set and band keys; nulls where the set is empty."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, bands, sketches = [], [], [], []
+            n, keys, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text)
                 n.append(len(s))
                 if not len(s):
-                    keys.append(None), bands.append(None), sketches.append(None)
+                    keys.append(None), bands.append(None)
                     continue
-                sig = signature(s)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                bands.append(_bands(sig))
-                sketches.append((sig & np.uint32(0xFF)).astype(np.uint8).tobytes())
+                bands.append(_bands(signature(s)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key", "bands", "sketch"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, FEATURES)
@@ -112,47 +109,71 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * both >= SIMILARITY * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _compare_blocks(members: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket whose signatures agree enough.
+def _postings(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverted index of a block: distinct shingles, where each one's owners begin, and the owners."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    known, start = np.unique(every[order], return_index=True)
+    return known, np.append(start, len(every)), owner[order]
 
-    members: group, side (0: this block, 1: the later block it is compared
-    with, or 0 alone for a block with itself), rep, component, sketch; sorted
-    by group within a partition.
-    """
 
-    def pairs(rows: list) -> Iterator[tuple[int, int]]:
-        rows.sort(key=lambda r: r[1])
-        ids, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        side = np.array([r[0] for r in rows])
-        sk = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-        first = np.flatnonzero(side == 0)
-        other = np.flatnonzero(side == 1) if side.any() else first
-        for i in first:
-            js = other[comp[other] != comp[i]]
-            if other is first:
-                js = js[js > i]
-            if len(js):
-                hits = js[(sk[js] == sk[i]).sum(axis=1) >= LEAST_AGREEING]
-                for j in hits:
-                    a, b = int(ids[i]), int(ids[j])
-                    yield (a, b) if a < b else (b, a)
+def _links_of_group(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Links between components of one group: rows (side, rep, component, shingles), side 0 indexed, side 1 asked.
+
+    A query's overlaps with the whole block are counted at once from the
+    inverted index, so they are exact. A link is given only if it joins what
+    wasn't joined yet: at most as many as there are components.
+    """
+    block = [r for r in rows if r[0] == 0]
+    queries = [r for r in rows if r[0] == 1]
+    if not block or not queries:
+        return
+    known, start, owner = _postings([r[3] for r in block])
+    size = np.array([len(r[3]) for r in block])
+    component = np.array([r[2] for r in block])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    for _, rep, mine, s in queries:
+        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+        hit = at[known[at] == s]
+        if not len(hit):
+            continue
+        length = start[hit + 1] - start[hit]
+        where = np.repeat(start[hit] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())
+        both = np.bincount(owner[where], minlength=len(block))
+        linked = np.flatnonzero(100 * both >= SIMILARITY * (len(s) + size - both))
+        _, first = np.unique(component[linked], return_index=True)
+        for j in linked[first]:
+            x, y = find(mine), find(int(component[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                yield rep, int(block[j][1])
+
+
+def _links_in_groups(members: DataFrame) -> DataFrame:
+    """(a, b) over rows (group, side, rep, component, shingles) that lie sorted by group and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows, out = None, [], set()
+        current, rows, out = None, [], []
         for batch in batches:
-            for group, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            lists = batch.column(4)
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, (group, side, rep, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
                 if group != current:
-                    out.update(pairs(rows) if len(rows) > 1 else ())
+                    out += _links_of_group(rows)
                     current, rows = group, []
-                rows.append(row)
-            if len(out) > 100_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
-                out = set()
-        out.update(pairs(rows) if len(rows) > 1 else ())
+                rows.append((side, rep, component, values[ends[i] : ends[i + 1]]))
+        out += _links_of_group(rows)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return members.select("group", "side", "rep", "component", "sketch").mapInArrow(run, "a long, b long")
+    return members.select("group", "side", "rep", "component", "shingles").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(ws: Workspace, docs: DataFrame) -> DataFrame:
@@ -166,7 +187,7 @@ def near_duplicates(ws: Workspace, docs: DataFrame) -> DataFrame:
     """
     feats = ws.put("features", features(docs))
     linked = feats.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = ws.put("classes", linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    classes = ws.put("classes", linked.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
 
     banded = classes.select("rep", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -182,21 +203,23 @@ def near_duplicates(ws: Workspace, docs: DataFrame) -> DataFrame:
     sets = ws.put("sets", _sets(texts), codec="lz4")
 
     links = ws.put("links-1", _confirmed(best, sets))
-    known = connected_components(ws, links, "merged")
-    named = crowd.join(known, F.col("rep") == F.col("id"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    named = ws.put("named", named)
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rest = named.join(mixed, "bucket").join(classes.select("rep", "sketch"), "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select(
-        F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
-        "rep", "component", "sketch",
-    )
-    dealt = spread.repartition("group").sortWithinPartitions("group")
-    more = ws.put("more", _compare_blocks(dealt).distinct())
-    links = links.union(_confirmed(more, sets))
+    merged = connected_components(ws, links, "merged").withColumnRenamed("id", "rep")
+    clusters = connected_components(ws, votes.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "clusters").select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    weighed = sets.select("rep", F.size("shingles").cast("long").alias("weight"))
+    named = ws.put("named", clusters.join(merged, "rep", "left").join(weighed, "rep").select("rep", "cluster", F.coalesce("component", "rep").alias("component"), "weight"))
+    parts = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    largest = F.max(F.struct("n", (-F.col("component")).alias("minus"), "weight")).alias("top")
+    mixed = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("all"), largest).where("k > 1")
+    blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
+    mixed = mixed.select("cluster", (-F.col("top.minus")).alias("main"), blocks(F.col("all")).alias("n_block"), blocks(F.col("all") - F.col("top.weight")).alias("n_ask"))
+    rest = named.join(mixed, "cluster")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    indexed = rest.select("rep", "cluster", "component", own(F.col("n_block")).alias("block"), spread(F.col("n_ask")).alias("ask"), F.lit(0).alias("side"))
+    asked = rest.where("component <> main").select("rep", "cluster", "component", spread(F.col("n_block")).alias("block"), own(F.col("n_ask")).alias("ask"), F.lit(1).alias("side"))
+    members = indexed.unionByName(asked).join(sets, "rep").select(F.xxhash64("cluster", "block", "ask").alias("group"), "side", "rep", "component", "shingles")
+    dealt = members.repartition("group").sortWithinPartitions("group", "side")
+    links = links.union(ws.put("links-2", _links_in_groups(dealt)))
     found = ws.put("components", connected_components(ws, links, "linked"))
 
     placed = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_key", F.coalesce("component", "rep").alias("found"))

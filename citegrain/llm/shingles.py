@@ -5,8 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-#: Words whose hashes a worker keeps, in each of two generations.
-CACHE_WORDS = 400_000
+#: Words whose hashes a worker keeps.
+CACHE_WORDS = 200_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
