@@ -262,3 +262,53 @@ SELECT b.item_id AS qid, CAST(r + 1 AS INT) AS rank, 'cause ' || r AS statement,
 SELECT qid, 'Which of these do you observe for "sym ' || qid || '"?' AS question, string_agg('check ' || r || '=cause ' || r, ',' ORDER BY r) AS candidates FROM c GROUP BY qid HAVING count(*) >= 2""",
 }
 ORACLES["sse_frames"] = "SELECT * EXCLUDE (turn) FROM (" + ORACLES["sse_frames"].replace("AS data FROM", "AS data, turn FROM").replace(" QUALIFY turn % 4 <> 3", "") + ") WHERE turn % 4 <> 3"
+
+
+def scope_restore(spark, sf_dir):
+    """Customers as clients with stored selections of several kinds."""
+    from ..operators import client
+
+    k = F.col("c_custkey")
+    ids = lambda *ns: F.array(*[F.concat(F.lit("src"), ((k + n) % 24).cast("string")) for n in ns])
+    stored = X.table(spark, sf_dir, "customer").select(
+        k.alias("client"), F.when(k % 9 > 0, ids(0, 3, 5)).alias("selected"), F.when(k % 4 == 0, ids(0, 3, 5)).otherwise(ids(0, 3, 5, 7)).alias("known"),
+        F.when(k % 5 == 0, ids(1, 2)).alias("released"), (k % 13).alias("hours"), (k % 2 == 0).alias("same_session"),
+    )
+    available = F.array(*[F.lit(f"src{i}") for i in range(20)])
+    out = client.restore_scope(stored, available)
+    return out.select("client", F.array_join("restored", ",").alias("restored"), F.coalesce(F.array_join("released", ","), F.lit("")).alias("released"))
+
+
+def sse_output(spark, sf_dir):
+    from ..operators import client
+
+    e = X.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("seq"), F.col("role").alias("name"), F.coalesce("text", F.lit("")).alias("payload"))
+    return client.sse_stream(e).select("qid", F.sha2("stream", 256).alias("digest"))
+
+
+def record_faults(spark, sf_dir):
+    """Passages of which some break the rules of their kind."""
+    from .. import schemas
+
+    k = F.col("doc_id")
+    p = X.table(spark, sf_dir, "documents").select(
+        k, F.when(k % 5 == 0, schemas.AUTHORED_SOURCE).otherwise(F.col("source")).alias("source_id"), F.when(k % 7 == 0, "1.2").alias("section_number"),
+        F.when(k % 5 > 0, k % 11).cast("int").alias("page_start"), F.when((k % 5 > 0) & (k % 17 > 0), 5).cast("int").alias("page_end"), F.when((k % 5 == 0) & (k % 3 > 0) | (k % 29 == 0), "f:1").alias("entry_location"),
+    )
+    return schemas.faults(p, schemas.passage_fault()).select("doc_id", "fault")
+
+
+QUERIES |= {f.__name__: f for f in (scope_restore, sse_output, record_faults)}
+ORACLES |= {
+    "scope_restore": """WITH a AS (SELECT ['src' || i for i in range(20)] AS av), c AS (SELECT c_custkey AS client, CASE WHEN c_custkey % 9 > 0 THEN ['src' || ((c_custkey + n) % 24) for n in [0, 3, 5]] END AS selected,
+  CASE WHEN c_custkey % 4 = 0 THEN ['src' || ((c_custkey + n) % 24) for n in [0, 3, 5]] ELSE ['src' || ((c_custkey + n) % 24) for n in [0, 3, 5, 7]] END AS known,
+  CASE WHEN c_custkey % 5 = 0 THEN ['src' || ((c_custkey + n) % 24) for n in [1, 2]] ELSE [] END AS released, c_custkey % 13 AS hours, c_custkey % 2 = 0 AS same FROM customer),
+k AS (SELECT *, [x for x in selected if list_contains(av, x)] AS kept, [x for x in known if list_contains(av, x)] AS kn FROM c, a),
+r AS (SELECT *, CASE WHEN len([x for x in kn if NOT list_contains(kept, x)]) = 0 THEN av ELSE kept END AS res FROM k),
+l AS (SELECT *, (NOT same OR hours > 8) AND len(res) < 20 AS lifted FROM r)
+SELECT client, array_to_string(CASE WHEN selected IS NULL OR lifted THEN av ELSE res END, ',') AS restored, coalesce(array_to_string(CASE WHEN selected IS NULL THEN [] WHEN lifted THEN res ELSE [x for x in released if list_contains(av, x)] END, ','), '') AS released FROM l""",
+    "sse_output": "SELECT conv_id AS qid, sha256(string_agg('event: ' || role || chr(10) || 'data: ' || replace(coalesce(text, ''), chr(10), chr(10) || 'data: ') || chr(10) || chr(10), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id",
+    "record_faults": """WITH p AS (SELECT doc_id, doc_id % 5 = 0 AS authored, doc_id % 7 = 0 AS numbered, CASE WHEN doc_id % 5 > 0 THEN doc_id % 11 END AS a, CASE WHEN doc_id % 5 > 0 AND doc_id % 17 > 0 THEN 5 END AS b, (doc_id % 5 = 0 AND doc_id % 3 > 0) OR doc_id % 29 = 0 AS located FROM documents),
+f AS (SELECT doc_id, CASE WHEN authored AND numbered THEN 'section_number on a passage without pages' WHEN authored AND NOT located THEN 'entry_location is missing' WHEN NOT authored AND a IS NULL THEN 'page_start is missing' WHEN NOT authored AND b IS NULL THEN 'page_end is missing' WHEN NOT authored AND b < a THEN 'page_end before page_start' WHEN NOT authored AND located THEN 'entry_location on a passage with pages' END AS fault FROM p)
+SELECT * FROM f WHERE fault IS NOT NULL""",
+}
