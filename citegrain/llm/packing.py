@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 
@@ -26,15 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .tokens import END_ID, default_tokenizer, encoder, read_definition
+from .tokens import END_ID, by_size, default_tokenizer, encoder, read_definition
 
 CAPACITY = 2048
 #: Penalties, in tokens of padding.
-SENTENCE_CUT, HARD_CUT = 4, 48
+SENTENCE_CUT, HARD_CUT = 4, 24
 #: Where no document or sentence ends for so many ids, cuts are allowed at this spacing.
-HARD_SPACING = 256
+HARD_SPACING = 64
 CHUNK_IDS = 1 << 20
-BATCH_TEXTS = 256
 #: A task's last window is split into powers of two if its padding would be more.
 TAIL_PADDING = 64
 
@@ -66,8 +66,12 @@ def cut_positions(ids: np.ndarray, doc_ends: list[int], ends: np.ndarray) -> tup
     return pos.tolist(), allowed[pos].tolist()
 
 
-def plan_windows(pos: list[int], penalty: list[int], capacity: int = CAPACITY) -> list[int]:
-    """The cheapest window ends, from the first position (not listed) to the last."""
+def plan_windows(pos: list[int], penalty: list[int], capacity: int = CAPACITY, open_end: bool = False) -> list[int]:
+    """The cheapest window ends, from the first position (not listed) to the last.
+
+    With an open end, what follows the last window end fits one window and is
+    left over at no cost.
+    """
     if len(pos) < 2:
         return []
     v, prev = [pos[0]] + [0] * (len(pos) - 1), [0] * len(pos)
@@ -82,6 +86,9 @@ def plan_windows(pos: list[int], penalty: list[int], capacity: int = CAPACITY) -
             queue.pop()
         queue.append(j)
     cuts, j = [], len(pos) - 1
+    if open_end:
+        fits = range(bisect_left(pos, pos[-1] - capacity), len(pos))
+        j = min(fits, key=lambda i: v[i] - pos[i])
     while j:
         cuts.append(pos[j])
         j = prev[j]
@@ -129,35 +136,34 @@ class _Chunk:
         return out, rest
 
 
-def _pack(definition: str):
+def _pack(definition: str, chunk_ids: int):
     types = pa.schema([(k.split()[0], pa.int64()) for k in PIECES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence = TaskContext.get().partitionId() << 36
-        enc, ends, end = encoder(definition), sentence_ends(definition), np.array([END_ID], "<u4").tobytes()
+        enc, ends, end = encoder(definition), sentence_ends(definition), np.uint32(END_ID)
         chunk = _Chunk()
 
         def planned(last: bool):
             ids = np.concatenate([d[3] for d in chunk.docs])
             doc_ends = np.cumsum([len(d[3]) for d in chunk.docs]).tolist()
-            windows = plan_windows(*cut_positions(ids, doc_ends, ends))
-            at = windows[-2] if len(windows) > 1 else 0
-            windows.pop()
+            windows = plan_windows(*cut_positions(ids, doc_ends, ends), open_end=True)
             if last:
+                at = windows[-1] if windows else 0
                 for length in tail_lengths(len(ids) - at):
                     at += length
                     windows.append(at)
             return windows
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(at, BATCH_TEXTS)
-                for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
-                    ids = np.frombuffer(raw + end, "<u4")
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in by_size(texts):
+                for doc_id, ids in zip(ids_of[part], enc.encode(texts[part])):
+                    ids = np.append(ids, end)
                     chunk.add(doc_id, 0, len(ids), ids)
-                    if chunk.n >= CHUNK_IDS:
+                    if chunk.n >= chunk_ids:
                         windows = planned(False)
                         out, chunk = chunk.cut(windows, sequence)
                         sequence += len(windows)
@@ -168,7 +174,7 @@ def _pack(definition: str):
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, partitions: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, partitions: int | None = None, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 ids.
 
     Null text: empty, so the end id alone. Null doc_id: kept, packed first.
@@ -179,7 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, partitions: in
     ship(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = narrow.repartitionByRange("doc_id") if partitions is None else narrow.repartitionByRange(partitions, "doc_id")
-    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(_pack(read_definition(tokenizer or default_tokenizer())), PIECES)
+    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(_pack(read_definition(tokenizer or default_tokenizer()), chunk_ids), PIECES)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

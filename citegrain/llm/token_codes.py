@@ -23,14 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace, ship
-from .tokens import END_ID, default_tokenizer, encoder, read_definition
+from .tokens import END_ID, by_size, default_tokenizer, encoder, read_definition
 
 MAGIC = b"DAC8\x01\0\0\0"
 BLOCK_BITS = 512
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 1 << 20
-#: Texts encoded at a time.
-BATCH_TEXTS = 256
 
 SEGMENTS = "shard int, segment int, shard_base long, first_doc long, n_docs long, n_ids long, image binary"
 DOCUMENTS = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
@@ -114,29 +112,29 @@ class Segment:
         return value
 
 
-def _segments(definition: str):
+def _segments(definition: str, segment_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        enc, end = encoder(definition), np.array([END_ID], "<u4").tobytes()
+        enc, end = encoder(definition), np.array([END_ID], "<u4")
         base = segment = held = 0
         docs, parts, ends = [], [], []
 
         def close() -> pa.RecordBatch:
-            image = pack(np.frombuffer(b"".join(parts), "<u4"), docs, np.array(ends))
+            image = pack(np.concatenate(parts), docs, np.array(ends))
             row = [shard, segment, base, docs[0], len(docs), held, image]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "segment", "shard_base", "first_doc", "n_docs", "n_ids", "image"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_TEXTS):
-                part = batch.slice(at, BATCH_TEXTS)
-                for d, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+            ids_of, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in by_size(texts):
+                for d, ids in zip(ids_of[part], enc.encode(texts[part])):
                     docs.append(d)
                     parts += [ids, end]
-                    held += len(ids) // 4 + 1
+                    held += len(ids) + 1
                     ends.append(held)
-                    if held >= SEGMENT_IDS:
+                    if held >= segment_ids:
                         yield close()
                         base, segment, held = base + held, segment + 1, 0
                         docs, parts, ends = [], [], []
@@ -146,7 +144,7 @@ def _segments(definition: str):
     return run
 
 
-def write_segments(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = None) -> DataFrame:
+def write_segments(docs: DataFrame, path: str, tokenizer: str, partitions: int | None = None, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Encode every text (null: empty) with the end id after it; write segments in ascending doc_id order.
 
     Rows are dealt out by ranges of doc_id (one shuffle, of doc_id and text
@@ -157,7 +155,7 @@ def write_segments(docs: DataFrame, path: str, tokenizer: str, partitions: int |
     ship(spark)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dealt = narrow.repartitionByRange("doc_id") if partitions is None else narrow.repartitionByRange(partitions, "doc_id")
-    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(_segments(read_definition(tokenizer)), SEGMENTS).write.option("compression", "zstd").mode("overwrite").parquet(path)
+    dealt.sortWithinPartitions("doc_id", "text").mapInArrow(_segments(read_definition(tokenizer), segment_ids), SEGMENTS).write.option("compression", "zstd").mode("overwrite").parquet(path)
     return spark.read.schema(SEGMENTS).parquet(path)
 
 
