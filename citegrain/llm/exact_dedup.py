@@ -87,14 +87,14 @@ def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ws = Workspace(spark, "exact-dedup")
     found = ws.put("found", dedup_batch(ws, docs, DigestIndex(spark, ws.path("index"))))
     kept = found.where("kept")
-    clash = docs.drop("_digest", "_id").withColumns({"_digest": text_sha256(F.col("text")), "_id": F.col("doc_id").cast("long")})
-    ids = kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    ids = kept.select("doc_id", "text_sha256").distinct()
     whole = ids.count() == kept.count()
-    same = (clash["_id"].eqNullSafe(ids["_id"])) & (clash["_digest"] == ids["_digest"])
-    stay = clash.join(ids, same, "left_semi")
+    # Rows travel as one column, so that theirs may have any names.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_sha256(F.col("text")).alias("digest"))
+    stay = held.join(ids, held["id"].eqNullSafe(ids["doc_id"]) & (held["digest"] == ids["text_sha256"]), "left_semi")
     if not whole:  # some kept row is repeated
-        stay = stay.dropDuplicates(["_id", "_digest"])
-    return stay.select(*docs.columns)
+        stay = stay.dropDuplicates(["id", "digest"])
+    return stay.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE_OP4 = r"""

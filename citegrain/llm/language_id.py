@@ -149,4 +149,6 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; the columns stay as they are."""
-    return predict_languages(docs, learn_dictionaries(docs)).where("accepted").select(*docs.columns)
+    # Rows travel as one column, so that theirs may have any names.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return predict_languages(held, learn_dictionaries(docs)).where("accepted").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -238,4 +238,4 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group, that with the smallest doc_id; the columns stay as they are."""
     ws = Workspace(spark, "near-dedup")
     gone = ws.put("found", near_duplicates(ws, docs)).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
