@@ -22,6 +22,10 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 
+#: Terms of up to so many questions are broadcast; of more, they are shuffled.
+BROADCAST_QUESTIONS = 20_000
+
+
 @dataclass(frozen=True)
 class RetrievalConfig:
     depth: int = 50
@@ -48,7 +52,8 @@ class LexicalIndex:
 def lexical_index(passages: DataFrame, text: Column | None = None) -> LexicalIndex:
     """Terms of every passage, compounds whole and in parts. Map-side sums keep the shuffle to distinct (passage, term)."""
     listed = passages.select("passage_id", T.terms(F.col("text") if text is None else text).alias("terms"))
-    postings = listed.select("passage_id", F.explode("terms").alias("term")).groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # An outer explode, as the optimizer would put a filter on the terms in front of a plain one, and compute them twice.
+    postings = listed.select("passage_id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL").groupBy("passage_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     lengths = listed.select("passage_id", F.size("terms").cast("long").alias("dl"))
     return LexicalIndex(
         postings,
@@ -129,9 +134,14 @@ def lexical_scores(index: LexicalIndex, questions: DataFrame, config: RetrievalC
     all passages. Only the questions' terms are read from the postings.
     """
     asked = question_terms(questions)
-    known = asked.join(index.terms, "term").crossJoin(F.broadcast(index.stats))
+    # Semi-joins on the grouping key go below the index's own sums, so other terms are never counted.
+    wanted = asked.select("term").distinct()
+    if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+        wanted = F.broadcast(wanted)
+    postings, terms = (t.join(wanted, "term", "left_semi") for t in (index.postings, index.terms))
+    known = asked.join(terms, "term").crossJoin(F.broadcast(index.stats))
     weighed = known.select("qid", "term", "n", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"), (F.col("df") <= config.rare_share * F.col("n")).alias("rare"))
-    hits = index.postings.join(weighed, "term").join(index.lengths, "passage_id")
+    hits = postings.join(weighed, "term").join(index.lengths, "passage_id")
     tf = F.col("tf") / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("qid", "passage_id").agg(F.round(F.sum(F.col("weight") * tf), config.digits).alias("bm25"), F.max("rare").alias("rare"))
 
