@@ -22,7 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_dedup": near_dedup.ORACLE_OP3,
         "op4_exact_dedup": exact_dedup.ORACLE_OP4,
+        "op5_chat_format": chat_format.ORACLE_OP5,
         "op6_mixing": mixing.oracle_op6(),
         "op9_topk_search": topk_search.ORACLE_OP9,
     }
