@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import ship
+from .worker import take_over
 
 UNDETERMINED = "und"
 #: Bytes compressed at a time. The text in front of a byte helps to compress
@@ -127,6 +128,7 @@ def predict_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], co
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language")
         c = Classifier(dictionaries)
         for batch in batches:
             found = [c.classify(t) for t in batch.column(at).to_pylist()]

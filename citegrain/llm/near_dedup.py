@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import Workspace, ship
 from .components import connected_components
-from .shingles import shingle_set
+from .shingles import forget_words, shingle_set
+from .worker import take_over
 
 PERMUTATIONS, BANDS = 64, 32
 #: A link: 100 * intersection >= SIMILARITY * union.
@@ -75,6 +76,7 @@ def features(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles", forget_words)
         for batch in batches:
             n, keys, bands = [], [], []
             for text in batch.column(1).to_pylist():
@@ -95,6 +97,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("shingles", forget_words)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["rep", "shingles"])
 
@@ -160,6 +163,7 @@ def _links_in_groups(members: DataFrame) -> DataFrame:
     """(a, b) over rows (group, side, rep, component, shingles) that lie sorted by group and side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("links")
         current, rows, out = None, [], []
         for batch in batches:
             lists = batch.column(4)

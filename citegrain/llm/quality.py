@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
+from .worker import take_over
 
 
 @dataclass(frozen=True)
@@ -184,6 +185,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("quality")
         model = shared.value
         words = Words(model.config.buckets)
         for batch in batches:

@@ -19,6 +19,7 @@ class _Hashes(dict):
 
 
 _KNOWN = _Hashes()
+forget_words = _KNOWN.clear
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .worker import take_over
+
 #: Ends every document.
 END_ID = 1
 #: Words longer than this are encoded each time, so the cache's bytes are bounded.
 LONGEST_CACHED = 64
 #: Words in each of the cache's two generations.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 350_000
 
 _READY: dict[str, "WordEncoder"] = {}
 
@@ -135,7 +137,7 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
-def by_size(texts: list[str | None], most_chars: int = 4 << 20) -> Iterator[slice]:
+def by_size(texts: list[str | None], most_chars: int = 2 << 20) -> Iterator[slice]:
     """Ranges of texts of some million characters together; one longer text stands alone."""
     start = held = 0
     for i, t in enumerate(texts):
@@ -150,6 +152,7 @@ def by_size(texts: list[str | None], most_chars: int = 4 << 20) -> Iterator[slic
 
 def encoder(definition: str) -> WordEncoder:
     """The worker's encoder of this definition; workers are reused, so its cache is too."""
+    take_over("tokens", _READY.clear)
     if definition not in _READY:
         import os
 
