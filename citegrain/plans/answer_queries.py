@@ -81,9 +81,10 @@ def turn_latencies(spark, sf_dir):
 
 
 def _transcripts(spark, sf_dir):
-    """Documents as answers: an outcome, a direct answer, then lines of all kinds with markers."""
-    d = X.table(spark, sf_dir, "documents").where("doc_id % 2 = 0")
-    part = lambda i: F.trim(F.regexp_replace(F.substring("text", 1 + 60 * i, 50), r"[\n\r]", " "))
+    """Documents as answers: an outcome, a direct answer, then lines of all kinds with markers; seven equal parts make up the whole text."""
+    d = X.table(spark, sf_dir, "documents")
+    size = F.ceil(F.length("text") / 7).cast("int")
+    part = lambda i: F.trim(F.regexp_replace(F.substring(F.col("text"), 1 + size * i, size), r"[\n\r]", " "))
     mark = lambda i: F.concat(F.lit(" [[p:m"), ((F.col("doc_id") + i) % 9).cast("string"), F.lit("]]"))
     line = F.when(F.col("doc_id") % 10 == 0, "no outcome").otherwise("answered")
     body = F.concat_ws("\n", line, F.concat(part(0), mark(0)), F.lit("---"), F.concat(F.lit("## "), part(1)), F.concat(F.lit("1. "), part(2), mark(1)), F.concat(F.lit("- "), part(3), mark(4), mark(1)), F.concat(F.lit("!caveat "), part(4)), F.lit("  and more"), F.lit(""), F.concat(F.lit("~uncovered "), part(5)), F.concat(F.lit("x"), part(6)))
