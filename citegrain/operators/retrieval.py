@@ -166,19 +166,19 @@ def fuse(rankings: list[DataFrame], config: RetrievalConfig = RetrievalConfig())
 
 
 def signals(passages: DataFrame, questions: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig(), dimension: int | None = None) -> DataFrame:
-    """(qid, passage_id, source_id, cosine, bm25, rare) of every candidate."""
+    """(qid, passage_id, source_id, cosine, bm25, rare) of every candidate; cosine is null where a side has no vector."""
     dense = candidates(passages, questions).select("qid", "passage_id", "source_id", dot(F.col("vector"), F.col("query_vector"), dimension, config.digits).alias("cosine"))
     lexical = lexical_scores(index, questions, config)
     return dense.join(lexical, ["qid", "passage_id"], "left").select("qid", "passage_id", "source_id", "cosine", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("rare", F.lit(False)).alias("rare"))
 
 
 def pool(scored: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Adds dense_rank, lexical_rank, fused and fused_rank; null beyond the depth, and where there is no lexical score."""
+    """Adds dense_rank, lexical_rank, fused and fused_rank; null beyond the depth, and where there is no cosine or lexical score."""
     q = Window.partitionBy("qid")
-    dense = F.row_number().over(q.orderBy(F.desc("cosine"), "passage_id"))
+    dense = F.row_number().over(q.orderBy(F.desc_nulls_last("cosine"), "passage_id"))
     lexical = F.row_number().over(q.orderBy(F.desc("bm25"), "passage_id"))
     placed = scored.withColumns({"d": dense, "l": lexical})
-    placed = placed.withColumns({"dense_rank": F.when(F.col("d") <= config.depth, F.col("d")), "lexical_rank": F.when((F.col("l") <= config.depth) & (F.col("bm25") > 0), F.col("l"))}).drop("d", "l")
+    placed = placed.withColumns({"dense_rank": F.when((F.col("d") <= config.depth) & F.col("cosine").isNotNull(), F.col("d")), "lexical_rank": F.when((F.col("l") <= config.depth) & (F.col("bm25") > 0), F.col("l"))}).drop("d", "l")
     part = lambda r: F.coalesce(1.0 / (config.rrf_k + F.col(r)), F.lit(0.0))
     fused = F.round(part("dense_rank") + part("lexical_rank"), config.digits)
     placed = placed.withColumn("fused", F.when(F.col("dense_rank").isNotNull() | F.col("lexical_rank").isNotNull(), fused))
@@ -189,7 +189,7 @@ def pool(scored: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Data
 def qualify(pooled: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
     """Adds qualifying: near enough to the question, or first by BM25 in its own source and holding a rare term."""
     first = F.row_number().over(Window.partitionBy("qid", "source_id").orderBy(F.desc("bm25"), "passage_id")) == 1
-    return pooled.withColumn("qualifying", (F.col("cosine") >= config.dense_threshold) | (first & (F.col("bm25") > 0) & F.col("rare")))
+    return pooled.withColumn("qualifying", F.coalesce(F.col("cosine") >= config.dense_threshold, F.lit(False)) | (first & (F.col("bm25") > 0) & F.col("rare")))
 
 
 def supply(qualified: DataFrame, config: RetrievalConfig = RetrievalConfig(), narrowing: bool = False) -> DataFrame:

@@ -148,7 +148,7 @@ def required_devices(spark, sf_dir):
 
 def _entry_rows(spark, sf_dir):
     """Suppliers as entries of five causes, whose fixes are passages of sources."""
-    p = X.passages(spark, sf_dir).select("passage_id", "source_id", "devices", "doc_id", "text")
+    p = X.with_vector(X.passages(spark, sf_dir)).select("passage_id", "source_id", "devices", "doc_id", "text")
     fix = lambda j: F.struct(F.concat(F.lit("src"), ((F.col("qid") + j) % 20).cast("string")).alias("source_id"), F.lit("s").alias("section"), F.array(*[F.concat(F.lit("src"), ((F.col("qid") + j) % 20).cast("string"), F.lit("#"), F.lpad((((F.col("qid") + j) % 20) + 20 * m).cast("string"), 6, "0")) for m in range(4)]).alias("passage_ids"))
     cause = lambda i: F.struct(F.concat(F.lit("cause "), F.lit(str(i))).alias("statement"), F.concat(F.lit("check "), F.lit(str(i))).alias("check"), F.array(fix(i), fix(i + 1)).alias("fix"))
     q = X.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))

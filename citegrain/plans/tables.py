@@ -23,19 +23,25 @@ def passage_id(source="source", doc_id="doc_id"):
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document; without a vector of its number it has neither vector nor device."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    devices = F.when(F.col("label") == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("label").cast("string")))
-    return docs.join(vectors, "doc_id").select(passage_id().alias("passage_id"), F.col("source").alias("source_id"), devices.alias("devices"), "text", "vector", "doc_id")
+    devices = F.when(F.coalesce("label", F.lit(0)) == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("label").cast("string")))
+    return docs.join(vectors, "doc_id", "left").select(passage_id().alias("passage_id"), F.col("source").alias("source_id"), devices.alias("devices"), "text", "vector", "doc_id")
+
+
+def with_vector(df: DataFrame) -> DataFrame:
+    """Passages or questions that the dense arm can compare."""
+    return df.where("vector IS NOT NULL")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First twelve words of each benchmark item, with the vector of the same number, whose own passage is left out."""
+    """First twelve words of each benchmark item, with the vector of the same number if there is one, whose own passage is left out."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 12), " ").alias("text"))
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), passage_id().alias("excluded"))
     array = lambda xs: F.array(*map(F.lit, xs))
-    return items.join(vectors, "qid").join(own, "qid", "left").select("qid", "text", "vector", array(SELECTED).alias("sources"), array(SCOPE).alias("scope"), "excluded")
+    return items.join(vectors, "qid", "left").join(own, "qid", "left").select("qid", "text", "vector", array(SELECTED).alias("sources"), array(SCOPE).alias("scope"), "excluded")
 
 
 def index(spark: SparkSession, sf_dir: str) -> R.LexicalIndex:

@@ -52,3 +52,44 @@ def test_answers_hold_the_whole_text(spark, sf):
     blocks = answer_queries.framing_blocks(spark, sf)
     assert {r.turn_id % 2 for r in blocks.select("turn_id").distinct().collect()} == {0, 1}
     assert {r.turn_id for r in blocks.collect()} == set(docs)
+
+
+# Retrieval ---------------------------------------------------------------------
+
+EVERY_PASSAGE = ("FROM documents JOIN embeddings ON", "FROM documents LEFT JOIN embeddings ON")
+NO_COSINE = (("CASE WHEN d <= 50 THEN d END", "CASE WHEN d <= 50 AND cosine IS NOT NULL THEN d END"), ("cosine >= 0.30 OR", "coalesce(cosine >= 0.30, false) OR"))
+
+
+@pytest.fixture(scope="module")
+def few_vectors(spark, sf, tmp_path_factory):
+    """The tables with a vector for every third document alone."""
+    at = tmp_path_factory.mktemp("few")
+    for t in TABLES:
+        if t != "embeddings":
+            os.symlink(f"{sf}/{t}.parquet", at / f"{t}.parquet")
+    spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 3 = 0").write.parquet(str(at / "embeddings.parquet"))
+    return str(at)
+
+
+def test_index_of_every_document(spark, few_vectors):
+    n = spark.read.parquet(f"{few_vectors}/documents.parquet").count()
+    assert same(spark, few_vectors, "index_stats", EVERY_PASSAGE)[0][1] == str(n)
+    assert len(same(spark, few_vectors, "retrieval_scope_filter", EVERY_PASSAGE)) == n
+    assert same(spark, few_vectors, "device_scope", EVERY_PASSAGE)
+
+
+def test_vectors_are_asked_of_the_dense_arm_alone(spark, few_vectors):
+    for name in ("cosine_topk", "masked_vs_unmasked", "entry_expansion"):
+        assert same(spark, few_vectors, name)
+    found = catalogue.QUERIES["bm25_topk"](spark, few_vectors).collect()
+    assert any(int(r.passage_id[-6:]) % 3 for r in found)
+    assert {r.qid for r in found} == {r.item_id for r in spark.read.parquet(f"{few_vectors}/benchmark.parquet").collect()}
+
+
+EVERY_QUESTION = ("FROM benchmark b JOIN embeddings e", "FROM benchmark b LEFT JOIN embeddings e")
+RETRIEVAL = {"bm25_topk": (), "rrf_fusion": NO_COSINE[:1], "qualifying_sources": NO_COSINE, "hybrid_retrieve": NO_COSINE}
+
+
+@pytest.mark.parametrize("name", RETRIEVAL)
+def test_retrieval_of_every_document(spark, few_vectors, name):
+    assert same(spark, few_vectors, name, EVERY_PASSAGE, EVERY_QUESTION, *RETRIEVAL[name])
