@@ -179,7 +179,7 @@ def contested_ids(spark, sf_dir):
 
 def _inventory(spark, sf_dir):
     devices = X.table(spark, sf_dir, "nation").select(F.col("n_name").alias("device_id"), F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit(" MK"), F.col("n_regionkey").cast("string"))).alias("revision"), F.initcap("n_name").alias("display_name"))
-    s = X.table(spark, sf_dir, "supplier").where("s_suppkey <= 20").join(X.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = X.table(spark, sf_dir, "supplier").join(X.table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     device = F.when(F.col("s_suppkey") % 6 == 0, F.lit("unowned")).otherwise(F.col("n_name"))
     revision = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("mk"), F.col("n_regionkey").cast("string")))
     sources = s.select(F.col("s_name").alias("source_id"), F.col("s_name").alias("display_name"), F.when(F.col("s_suppkey") % 7 == 0, "authored-triage").otherwise("vendor-manual").alias("kind"), device.alias("device"), revision.alias("revision"), F.when(F.col("s_suppkey") % 3 == 0, "assumed").otherwise("confirmed").alias("status"))
@@ -246,7 +246,7 @@ def pointer_states(spark, sf_dir):
 
 def ledger_update(spark, sf_dir):
     """A ledger after a run: rows move only where the passages changed, and none is lost."""
-    o = X.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = X.table(spark, sf_dir, "orders")
     key = F.concat(F.lit("k"), (F.col("o_orderkey") % 500).cast("string"))
     old = o.where("o_custkey % 2 = 0").groupBy(key.alias("pointer")).agg(F.lit("t0").alias("resolved_at"), F.array(F.min("o_custkey").cast("string")).alias("passage_ids"), F.array(F.lit("e")).alias("entry_keys"))
     new = o.groupBy(key.alias("pointer")).agg(F.array(F.min("o_custkey").cast("string")).alias("passage_ids")).withColumn("entry_key", F.lit("f"))

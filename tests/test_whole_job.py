@@ -5,6 +5,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from citegrain.plans import answer_queries, catalogue
 from test_catalogue import TABLES, plain
@@ -93,3 +94,36 @@ RETRIEVAL = {"bm25_topk": (), "rrf_fusion": NO_COSINE[:1], "qualifying_sources":
 @pytest.mark.parametrize("name", RETRIEVAL)
 def test_retrieval_of_every_document(spark, few_vectors, name):
     assert same(spark, few_vectors, name, EVERY_PASSAGE, EVERY_QUESTION, *RETRIEVAL[name])
+
+
+# Inventory ---------------------------------------------------------------------
+
+EVERY_SUPPLIER = (" WHERE s_suppkey <= 20", "")
+
+
+@pytest.fixture(scope="module")
+def many_suppliers(spark, sf, tmp_path_factory):
+    """The tables with suppliers of the first twenty nations alone, three times over."""
+    at = tmp_path_factory.mktemp("many")
+    for t in TABLES:
+        if t != "supplier":
+            os.symlink(f"{sf}/{t}.parquet", at / f"{t}.parquet")
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    n, top = s.count(), s.selectExpr("max(s_suppkey)").first()[0]
+    more = s.crossJoin(spark.range(3)).withColumn("s_suppkey", F.expr(f"s_suppkey + {top} * id").cast(s.schema["s_suppkey"].dataType))
+    more = more.withColumn("s_name", F.format_string("Supplier#%09d", F.col("s_suppkey").cast("long"))).withColumn("s_nationkey", F.expr("s_suppkey % 20").cast(s.schema["s_nationkey"].dataType))
+    more.drop("id").write.parquet(str(at / "supplier.parquet"))
+    assert n * 3 > 20
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["gap_undocumented", "gap_unconfirmed", "gap_not_owned", "applied_declarations", "inventory_table"])
+def test_every_supplier(spark, many_suppliers, name):
+    got = same(spark, many_suppliers, name, EVERY_SUPPLIER)
+    assert got
+    if name == "inventory_table":
+        assert len(got) == spark.read.parquet(f"{many_suppliers}/supplier.parquet").count()
+
+
+def test_ledger_of_every_order(spark, sf):
+    assert len(same(spark, sf, "ledger_update", (" WHERE o_orderkey % 10 = 0", ""))) > 50
