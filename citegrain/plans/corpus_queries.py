@@ -32,9 +32,11 @@ def citation_header(spark, sf_dir):
 
 
 def text_keys(spark, sf_dir):
-    """Four of the normal forms side by side, over first lines."""
-    line = F.substring_index("text", "\n", 1)
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.symptom_key(line), 256).alias("symptom"), F.sha2(T.title_key(F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".2 "), line)), 256).alias("title"), F.sha2(T.furniture_key(line), 256).alias("furniture"))
+    """Three of the normal forms side by side: symptom over the whole text, title and furniture over every line, one digest for all lines."""
+    lines = F.split("text", "\n")
+    number = F.concat((F.col("doc_id") % 9).cast("string"), F.lit(".2 "))
+    digest = lambda key: F.sha2(F.array_join(F.transform(lines, key), "\n"), 256)
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(T.symptom_key(F.col("text")), 256).alias("symptom"), digest(lambda x: T.title_key(F.concat(number, x))).alias("title"), digest(T.furniture_key).alias("furniture"))
 
 
 def entry_keys(spark, sf_dir):

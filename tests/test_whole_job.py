@@ -127,3 +127,22 @@ def test_every_supplier(spark, many_suppliers, name):
 
 def test_ledger_of_every_order(spark, sf):
     assert len(same(spark, sf, "ledger_update", (" WHERE o_orderkey % 10 = 0", ""))) > 50
+
+
+# Keys --------------------------------------------------------------------------
+
+
+def test_text_keys_of_every_line(spark, sf):
+    line = lambda sql: f"sha256(array_to_string([{sql} for line in string_split(text, chr(10))], chr(10)))"
+    old = catalogue.ORACLES["text_keys"]
+    symptom, title, furniture = re.findall(r"sha256\((.*?)\) AS (?:symptom|title|furniture)", old)
+    changes = [("string_split(text, chr(10))[1] AS line", "text"), (f"{symptom}) AS symptom", symptom.replace("line", "text") + ") AS symptom"), (f"sha256({title})", line(title)), (f"sha256({furniture})", line(furniture))]
+    assert same(spark, sf, "text_keys", *changes)
+
+
+def test_text_keys_differ_after_the_first_line(spark, tmp_path):
+    texts = ["Same\nalpha 1", "Same\nbeta 1", "Same\nalpha  2"]
+    spark.createDataFrame([(9 * i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    a, b, c = sorted(catalogue.QUERIES["text_keys"](spark, str(tmp_path)).collect(), key=lambda r: r.doc_id)
+    assert a.symptom != b.symptom and a.title != b.title and a.furniture != b.furniture
+    assert a.symptom != c.symptom and a.title != c.title and a.furniture == c.furniture
