@@ -36,8 +36,8 @@ def with_vector(df: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First twelve words of each benchmark item, with the vector of the same number if there is one, whose own passage is left out."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 12), " ").alias("text"))
+    """The whole text of each benchmark item, with the vector of the same number if there is one, whose own passage is left out."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), passage_id().alias("excluded"))
     array = lambda xs: F.array(*map(F.lit, xs))

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from citegrain.plans import answer_queries, catalogue
+from citegrain.plans import answer_queries, catalogue, retrieval_queries, tables
 from test_catalogue import TABLES, plain
 
 
@@ -88,12 +88,19 @@ def test_vectors_are_asked_of_the_dense_arm_alone(spark, few_vectors):
 
 
 EVERY_QUESTION = ("FROM benchmark b JOIN embeddings e", "FROM benchmark b LEFT JOIN embeddings e")
+WHOLE_QUESTION = (re.search(r"array_to_string\(list_slice.*? AS text", retrieval_queries.Q)[0], "b.text AS text")
 RETRIEVAL = {"bm25_topk": (), "rrf_fusion": NO_COSINE[:1], "qualifying_sources": NO_COSINE, "hybrid_retrieve": NO_COSINE}
 
 
 @pytest.mark.parametrize("name", RETRIEVAL)
 def test_retrieval_of_every_document(spark, few_vectors, name):
-    assert same(spark, few_vectors, name, EVERY_PASSAGE, EVERY_QUESTION, *RETRIEVAL[name])
+    assert same(spark, few_vectors, name, EVERY_PASSAGE, EVERY_QUESTION, WHOLE_QUESTION, *RETRIEVAL[name])
+
+
+def test_questions_are_whole(spark, sf):
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert {r.qid: r.text for r in tables.questions(spark, sf).collect()} == items
+    assert max(len(t.split()) for t in items.values()) > 12
 
 
 # Inventory ---------------------------------------------------------------------
