@@ -44,8 +44,9 @@ class LanguageConfig:
     sample_rows: labelled rows at most, for each language, that fill its
     dictionary, those with the smallest hash of doc_id; the rest of the table
     is only counted. dictionary_bytes: of each dictionary, to which a text
-    gives a tenth at most. languages: learned at most, the most frequent.
-    min_margin: bytes by which the winner must be smaller; min_share: the same
+    gives a tenth at most. languages: learned and compared at a time; every one
+    that is named is learned, in groups of so many, so that neither the driver
+    nor a worker holds more than a group's rows or compressors. min_margin: bytes by which the winner must be smaller; min_share: the same
     as a share of the winner.
     """
 
@@ -63,9 +64,14 @@ def held_out(doc_id: Column) -> Column:
 def learn_dictionaries(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> list[tuple[str, bytes]]:
     """(language, dictionary) by falling frequency, from rows with non-null lang, text and doc_id that aren't held out."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("doc_id") >= F.lit(-(2**63)))).where(~held_out(F.col("doc_id")))
-    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(config.languages).collect()
-    if not counts:
-        return []
+    counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    found = []
+    for at in range(0, len(counts), config.languages):
+        found += _learn_group(train, counts[at : at + config.languages], config)
+    return found
+
+
+def _learn_group(train: DataFrame, counts: list, config: LanguageConfig) -> list[tuple[str, bytes]]:
     scale = 1 << 40
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(scale))
     share = {r.lang: min(scale, math.ceil(scale * 1.5 * (config.sample_rows + 10) / r["count"])) for r in counts}
@@ -87,27 +93,42 @@ def learn_dictionaries(docs: DataFrame, config: LanguageConfig = LanguageConfig(
 
 
 class Classifier:
-    def __init__(self, dictionaries: list[tuple[str, bytes]]):
+    def __init__(self, dictionaries: list[tuple[str, bytes]], at_once: int = LanguageConfig.languages):
+        self.dictionaries, self.at_once = dictionaries, at_once
+        self.languages = [lang for lang, _ in dictionaries]
+        self.starts = range(0, len(dictionaries), at_once)
+        self.held, self.compressors = None, []
+
+    def hold(self, start: int) -> None:
+        """Makes the compressors of a group; the group before is let go."""
         import zstandard as z
 
-        self.languages = [lang for lang, _ in dictionaries]
-        self.compressors = []
+        if self.held == start:
+            return
+        self.held, self.compressors = start, []
         how = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY, min_match=MIN_MATCH, search_log=SEARCH_LOG, window_log=WINDOW_LOG, hash_log=WINDOW_LOG - 1, chain_log=WINDOW_LOG - 1, write_content_size=0, write_checksum=0, write_dict_id=0)
-        for _, content in dictionaries:
+        for _, content in self.dictionaries[start : start + self.at_once]:
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=how)
             self.compressors.append(z.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
     def sizes(self, text: str) -> list[int]:
+        """Of a text under the compressors of the group that is held."""
         raw = words_of(text)
         windows = [raw[at : at + WINDOW_BYTES] for at in range(0, len(raw), WINDOW_BYTES)]
         return [sum(len(compress(w)) for w in windows) for compress in self.compressors]
 
-    def classify(self, text: str | None) -> tuple[str, float, int, int]:
-        """Language, score, size under its dictionary, margin to the runner-up in bytes."""
-        if text is None or not self.languages or not _LETTER.search(text):
-            return UNDETERMINED, 0.0, 0, 0
-        sizes = self.sizes(text)
+    def classify(self, texts: list[str | None]) -> list[tuple[str, float, int, int]]:
+        """Language, score, size under its dictionary, margin to the runner-up in bytes of each text."""
+        told = [i for i, t in enumerate(texts) if t is not None and self.languages and _LETTER.search(t)]
+        sizes: dict[int, list[int]] = {i: [] for i in told}
+        for start in self.starts:
+            self.hold(start)
+            for i in told:
+                sizes[i] += self.sizes(texts[i])
+        return [self.decide(sizes[i]) if i in sizes else (UNDETERMINED, 0.0, 0, 0) for i in range(len(texts))]
+
+    def decide(self, sizes: list[int]) -> tuple[str, float, int, int]:
         best = min(range(len(sizes)), key=sizes.__getitem__)  # ties: the more frequent language
         others = sizes[:best] + sizes[best + 1 :]
         margin = min(others) - sizes[best] if others else sizes[best]
@@ -129,9 +150,9 @@ def predict_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_over("language")
-        c = Classifier(dictionaries)
+        c = Classifier(dictionaries, config.languages)
         for batch in batches:
-            found = [c.classify(t) for t in batch.column(at).to_pylist()]
+            found = c.classify(batch.column(at).to_pylist())
             new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[0] != UNDETERMINED and f[3] >= max(config.min_margin, config.min_share * f[2]) for f in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "score", "accepted"])
 

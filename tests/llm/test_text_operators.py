@@ -85,6 +85,22 @@ def test_language_odd(odd, empty):
     assert {r["lang_pred"] for r in rows(language_id.predict_languages(odd, []))} == {"und"}
 
 
+def test_language_learns_every_language(spark):
+    """More languages than are handled at a time: the rarest is told as well."""
+    word = lambda n, i: "".join(chr(0x4E00 + 40 * n + (7 * i + j) % 40) for j in range(4))
+    data = [(100 * n + i, " ".join(word(n, i + m) for m in range(60)), f"l{n:02}", "s", 0) for n in range(70) for i in range(20 if n < 69 else 12)]
+    df = spark.createDataFrame(data, SCHEMA)
+    learned = language_id.learn_dictionaries(df)
+    assert {lang for lang, _ in learned} == {f"l{n:02}" for n in range(70)} and learned[-1][0] == "l69"
+    out = rows(language_id.predict_languages(df, learned))
+    assert len(out) == len(data) and all(r["lang_pred"] == r["lang"] for r in out)
+    few = language_id.LanguageConfig(languages=3)
+    some = df.where("doc_id % 100 < 2")
+    assert language_id.learn_dictionaries(df, few) == learned
+    told = lambda c: sorted((r["doc_id"], r["lang_pred"], r["score"], r["accepted"]) for r in rows(language_id.predict_languages(some, learned, c)))
+    assert told(few) == told(language_id.LanguageConfig())
+
+
 def test_language_stage_keeps_columns(spark, odd, sf):
     out = language_id.stage_language(spark, odd, sf)
     assert out.columns == odd.columns and unharmed(out)
