@@ -24,6 +24,7 @@ from ..runtime import Workspace
 WORD = r"[^\x20\x09-\x0D]+"
 #: A table of blocks up to this many rows (about 40 bytes each) is broadcast.
 BROADCAST_BLOCKS = 200_000
+SOURCES = "_source string, _weight double, _exponent double, _budget long, _full long, _rest long, _blocks long"
 
 
 @dataclass(frozen=True)
@@ -31,8 +32,8 @@ class MixConfig:
     """target_entropy: as a share of that of equal weights. repetition_limit: of any source; it goes before the entropy.
 
     budget_words: to emit in all; by default as many as let every document be
-    emitted once at least. max_sources: more are an error, as their totals are
-    handled on the driver.
+    emitted once at least. max_sources: handled on the driver and broadcast; the
+    totals of more stay in a table, which each step of the bisection reads.
     """
 
     target_entropy: float = 0.999
@@ -65,19 +66,74 @@ def repetition(words: list[int], exponent: float, config: MixConfig) -> float:
     return max(b * x / w for w, x in zip(words, p))
 
 
+def _boundary(holds_low, steps: int) -> float:
+    low, high = 0.0, 1.0
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (middle, high) if holds_low(middle) else (low, middle)
+    return low
+
+
 def bisect_exponent(words: list[int], config: MixConfig) -> float:
     """The largest exponent in [0, 1] that reaches the entropy, raised to the smallest that keeps the limit."""
+    flat = _boundary(lambda a: entropy_share(words, a) >= config.target_entropy, config.steps)
+    safe = _boundary(lambda a: repetition(words, a, config) > config.repetition_limit, config.steps)
+    return max(flat, safe)
 
-    def boundary(holds_low) -> float:
-        low, high = 0.0, 1.0
-        for _ in range(config.steps):
-            middle = (low + high) / 2
-            low, high = (middle, high) if holds_low(middle) else (low, middle)
-        return low
 
-    flat = boundary(lambda a: entropy_share(words, a) >= config.target_entropy)
-    safe = boundary(lambda a: repetition(words, a, config) > config.repetition_limit)
-    return max(flat, safe)
+def words_to_emit(budget: float, weight: float, words: int, config: MixConfig) -> int:
+    """Of a source; under the default budget never less than it has, however the product was rounded."""
+    mine = math.floor(budget * weight + 1e-6)
+    return mine if config.budget_words is not None else max(words, mine)
+
+
+def _few_sources(spark: SparkSession, totals: list, config: MixConfig) -> DataFrame:
+    some = [r for r in totals if r.words]
+    words = [r.words for r in some]
+    exponent = bisect_exponent(words, config) if words else 1.0
+    weight = dict(zip([r.source for r in some], weights_at(words, exponent))) if words else {}
+    budget = budget_of(words, list(weight.values()), config) if words else 0
+    rows = []
+    for r in totals:
+        w = weight.get(r.source, 0.0)
+        mine = words_to_emit(budget, w, r.words, config)
+        full, rest = divmod(mine, r.words) if r.words else (1, 0)  # a source without words is passed on once
+        rows.append((r.source, w, exponent, mine, full, rest, math.ceil(math.sqrt(r.rows))))
+    return spark.createDataFrame(rows, SOURCES)
+
+
+def _many_sources(totals: DataFrame, config: MixConfig) -> DataFrame:
+    """The same from a table of totals: a step of the bisection is one row of sums."""
+    some = totals.where("words > 0")
+    everything = some.agg(F.sum("words")).first()[0]
+    raw = lambda a: F.pow(F.col("words") / F.lit(float(everything or 1)), F.lit(a))
+
+    def sums(a: float):
+        x = raw(a)
+        return some.agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("z"), F.sum(x * F.ln(x)).alias("s"), F.max(F.col("words") / x).alias("most"), F.max(x / F.col("words")).alias("least")).first()
+
+    def budget_at(r) -> float:
+        return config.budget_words if config.budget_words is not None else r.most * r.z
+
+    def even(a: float) -> bool:
+        r = sums(a)
+        return (1.0 if r.n < 2 else (math.log(r.z) - r.s / r.z) / math.log(r.n)) >= config.target_entropy
+
+    def repeats(a: float) -> bool:
+        r = sums(a)
+        return budget_at(r) * r.least / r.z > config.repetition_limit
+
+    exponent = max(_boundary(even, config.steps), _boundary(repeats, config.steps)) if everything else 1.0
+    z, budget = (0.0, 0.0) if not everything else ((r := sums(exponent)).z, float(budget_at(r)))
+    worded = F.col("words") > 0
+    weight = F.when(worded, raw(exponent) / F.lit(z)).otherwise(0.0)
+    mine = F.floor(F.lit(budget) * F.col("_weight") + 1e-6)
+    if config.budget_words is None:
+        mine = F.greatest(mine, F.col("words"))
+    known = totals.withColumn("_weight", weight).withColumn("_budget", mine)
+    full = F.when(worded, F.expr("_budget div words")).otherwise(1)
+    rest = F.when(worded, F.expr("_budget % words")).otherwise(0)
+    return known.select(F.col("source").alias("_source"), "_weight", F.lit(exponent).alias("_exponent"), "_budget", full.cast("long").alias("_full"), rest.cast("long").alias("_rest"), F.ceil(F.sqrt("rows")).alias("_blocks"))
 
 
 def place(seed: int, *what: Column) -> Column:
@@ -91,45 +147,34 @@ class Plan:
     words: DataFrame  # doc_id, source, n_words, block, epochs: whole copies of the row
     extra: DataFrame  # doc_id, source, block, epoch: rows of the last block, which is taken in part
     sources: DataFrame  # source, weight, exponent, budget and so on
+    few: bool  # the sources may be broadcast
 
 
-def _with_block(df: DataFrame, sources: DataFrame, config: MixConfig) -> DataFrame:
-    joined = df.join(F.broadcast(sources), F.coalesce(F.col("source"), F.lit("")) == F.col("_source"))
+def _with_block(df: DataFrame, sources: DataFrame, few: bool, config: MixConfig) -> DataFrame:
+    joined = df.join(F.broadcast(sources) if few else sources, F.coalesce(F.col("source"), F.lit("")) == F.col("_source"))
     return joined.withColumn("_block", F.pmod(place(config.seed, F.col("doc_id")), F.col("_blocks")))
 
 
 def plan_mix(ws: Workspace, docs: DataFrame, config: MixConfig = MixConfig()) -> Plan:
     spark = docs.sparkSession
     counted = ws.put("words", docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words")))
-    totals = counted.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_words").alias("words")).orderBy("source").limit(config.max_sources + 1).collect()
-    if len(totals) > config.max_sources:
-        raise ValueError(f"more than {config.max_sources} sources")
-    some = [r for r in totals if r.words]
-    words = [r.words for r in some]
-    exponent = bisect_exponent(words, config) if words else 1.0
-    weight = dict(zip([r.source for r in some], weights_at(words, exponent))) if words else {}
-    budget = budget_of(words, list(weight.values()), config) if words else 0
-    rows = []
-    for r in totals:
-        w = weight.get(r.source, 0.0)
-        mine = math.floor(budget * w + 1e-6)
-        full, rest = divmod(mine, r.words) if r.words else (1, 0)  # a source without words is passed on once
-        rows.append((r.source, w, exponent, mine, full, rest, math.ceil(math.sqrt(r.rows))))
-    schema = "_source string, _weight double, _exponent double, _budget long, _full long, _rest long, _blocks long"
-    sources = spark.createDataFrame(rows, schema)
-    dealt = _with_block(counted, sources, config)
+    sums = counted.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n_words").alias("words"))
+    totals = sums.orderBy("source").limit(config.max_sources + 1).collect()
+    few = len(totals) <= config.max_sources
+    sources = _few_sources(spark, totals, config) if few else ws.put("sources", _many_sources(ws.put("totals", sums), config))
+    dealt = _with_block(counted, sources, few, config)
     key = place(config.seed, F.col("_source"), F.col("_full"), F.col("_block"))
     sizes = dealt.groupBy("_source", "_full", "_rest", "_block").agg(F.sum("n_words").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("_source").orderBy(key, "_block"))
     blocks = ws.put("blocks", sizes.withColumn("_before", upto - F.col("size")).select("_source", "_full", "_block", (F.col("_rest") - F.col("_before")).alias("_room"), "size"))
     taken = F.col("_room") >= F.col("size")
     whole = blocks.select("_source", "_block", (F.col("_full") + taken.cast("long")).alias("epochs"))
-    small = sum(r[-1] for r in rows) <= BROADCAST_BLOCKS
+    small = (sources.agg(F.sum("_blocks")).first()[0] or 0) <= BROADCAST_BLOCKS
     emitted = dealt.join(F.broadcast(whole) if small else whole, ["_source", "_block"])
     cut = blocks.where(~taken & (F.col("_room") > 0)).select("_source", "_block", "_room")
     within = F.sum("n_words").over(Window.partitionBy("_source", "_block").orderBy(place(config.seed + 1, F.col("doc_id"), F.col("_full")), "doc_id"))
-    part = dealt.join(F.broadcast(cut), ["_source", "_block"]).withColumn("_upto", within).where("_upto <= _room")
-    return Plan(emitted.select("doc_id", "source", "n_words", "_block", "epochs"), part.select("doc_id", "source", "n_words", "_block", F.col("_full").alias("epoch")), sources)
+    part = dealt.join(F.broadcast(cut) if few else cut, ["_source", "_block"]).withColumn("_upto", within).where("_upto <= _room")
+    return Plan(emitted.select("doc_id", "source", "n_words", "_block", "epochs"), part.select("doc_id", "source", "n_words", "_block", F.col("_full").alias("epoch")), sources, few)
 
 
 def mix(ws: Workspace, docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
@@ -163,7 +208,7 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     blocks = ws.put("copies", copies.select(F.coalesce("source", F.lit("")).alias("_s"), F.col("_block").alias("_b"), F.col("epochs").alias("_epochs")).groupBy("_s", "_b").agg(F.max("_epochs").alias("_epochs")))
     columns = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    dealt = _with_block(held, p.sources, config)
+    dealt = _with_block(held, p.sources, p.few, config)
     few = blocks.count() <= BROADCAST_BLOCKS
     out = dealt.join(F.broadcast(blocks) if few else blocks, (F.col("_source") == F.col("_s")) & (F.col("_block") == F.col("_b")))
     out = out.join(F.broadcast(extra) if few else extra, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_source") == F.col("_src")), "left")

@@ -1,12 +1,14 @@
 """Language ID, exact and near dedup, tokens, packing, mixing: against plain Python, and on odd tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from citegrain.llm import exact_dedup, language_id, mixing, near_dedup, packing, token_codes, tokens
@@ -387,6 +389,28 @@ def test_mixing_meets_its_budgets(spark):
     assert {n for (_, s), n in times.items() if s == "small"} <= {3, 4}
 
 
+def test_default_budget_never_falls_short():
+    c, rng, short = mixing.MixConfig(), np.random.default_rng(1), 0
+    for _ in range(2000):
+        words = [int(x) for x in rng.integers(10**12, 10**13, 5)]
+        p = mixing.weights_at(words, 0.3)
+        b = mixing.budget_of(words, p, c)
+        short += any(math.floor(b * x + 1e-6) < w for x, w in zip(p, words))
+        assert all(mixing.words_to_emit(b, x, w, c) >= w for x, w in zip(p, words))
+    assert short > 0
+
+
+def test_mixing_of_many_sources(spark, odd, sf):
+    """More sources than the driver takes: the same rows from a table of totals."""
+    df = spark.createDataFrame([(i, "w " * (i % 9), None, f"s{i % 40 if i % 3 else 0}", 0) for i in range(900)], SCHEMA)
+    many = mixing.MixConfig(max_sources=3)
+    got = lambda d, c: sorted(map(str, rows(mixing.mix(Workspace(spark, "t"), d, c))))
+    assert got(df, many) == got(df, mixing.MixConfig()) != []
+    none = mixing.MixConfig(max_sources=0)
+    assert got(odd, none) == got(odd, mixing.MixConfig())
+    assert got(df.withColumn("text", F.lit("")), none) == got(df.withColumn("text", F.lit("")), mixing.MixConfig())
+
+
 def test_mixing_odd(spark, odd, empty, sf):
     out = rows(mixing.mix(Workspace(spark, "t"), odd))
     assert {r["doc_id"] for r in out} == {d for d, *_ in ODD}
