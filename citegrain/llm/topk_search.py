@@ -3,8 +3,9 @@
 Vectors are turned into integers, floor(64 * x). A shard is a bounded number of
 vectors with a ball tree over them: a node has a centre and a radius, and no
 vector in it scores more than ``q . c + |q| * r``. Queries go through a shard
-in blocks; nodes are taken by falling bound, a block's queries together, and a
-query leaves a node out if its current k-th score is above the node's bound.
+in blocks, down from the root; nodes are taken by falling bound, a block's
+queries together, and a query leaves out a node, and with it all below, if its
+current k-th score is above the node's bound.
 The k-th score is shared: the first shard is searched alone, and its k-th
 scores travel with the queries to every other shard, which returns only what
 can still be in the answer.
@@ -12,6 +13,7 @@ can still be in the answer.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,24 +32,43 @@ _HITS = ("query_id", "vec_id", "score")
 
 
 class BallTree:
-    """Leaves of a binary tree over integer vectors, split at the median along the widest of two far points."""
+    """A binary tree over integer vectors, split at the median along the widest of two far points.
+
+    Node 0 is the root; children holds a node's two, or None for a leaf.
+    leaves, centres and radii are those of the leaves, by leaf_of.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, leaf: int = LEAF):
         self.ids, self.vectors = ids, vectors.astype(np.float64)
         self.leaves: list[np.ndarray] = []
-        todo = [np.arange(len(ids))]
+        self.children: list[tuple[int, int] | None] = [None]
+        self.leaf_of: dict[int, int] = {}
+        self.balls: list[tuple[np.ndarray, float]] = [(np.zeros(self.vectors.shape[1]), 0.0)]
+        todo = [(0, np.arange(len(ids)))]
         while todo:
-            at = todo.pop()
+            node, at = todo.pop()
+            x = self.vectors[at]
+            centre = x.mean(axis=0)
+            self.balls[node] = centre, float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))
             if len(at) <= leaf:
+                self.leaf_of[node] = len(self.leaves)
                 self.leaves.append(at)
                 continue
-            x = self.vectors[at]
             far = x[((x - x[0]) ** 2).sum(axis=1).argmax()]
             axis = x[((x - far) ** 2).sum(axis=1).argmax()] - far
             order = np.argsort(x @ axis, kind="stable")  # equal vectors are halved as well
-            todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-        self.centres = np.array([self.vectors[x].mean(axis=0) for x in self.leaves])
-        self.radii = np.array([np.sqrt(((self.vectors[x] - c) ** 2).sum(axis=1).max()) for x, c in zip(self.leaves, self.centres)])
+            low, high = len(self.children), len(self.children) + 1
+            self.children[node] = low, high
+            self.children += [None, None]
+            self.balls += [self.balls[0]] * 2
+            todo += [(low, at[order[: len(at) // 2]]), (high, at[order[len(at) // 2 :]])]
+        ends = [self.balls[node] for node in self.leaf_of]
+        self.centres, self.radii = np.array([c for c, _ in ends]), np.array([r for _, r in ends])
+
+    def bound(self, node: int, q: np.ndarray, norms: np.ndarray) -> np.ndarray:
+        """What no vector below the node exceeds, for each query."""
+        centre, radius = self.balls[node]
+        return q @ centre + norms * radius + 1e-6
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits (query_id, vec_id, score) that may be among a query's k best, itself left out.
@@ -56,16 +77,29 @@ class BallTree:
         sum of products stays below 2**53, so float64 products are exact.
         """
         q = queries.astype(np.float64)
-        bounds = q @ self.centres.T + np.sqrt((q**2).sum(axis=1))[:, None] * self.radii + 1e-6
+        norms = np.sqrt((q**2).sum(axis=1))
         n = len(q)
         best_score = np.full((n, k), -np.inf)
         best_id = np.full((n, k), np.iinfo(np.int64).max)
         kth = kth.astype(np.float64)
-        for leaf in np.argsort(-bounds.max(axis=0), kind="stable"):
-            who = np.flatnonzero(bounds[:, leaf] >= np.maximum(kth, best_score[:, -1]))
+        todo = []
+
+        def reach(node: int, who: np.ndarray) -> None:
+            if len(who):
+                bounds = self.bound(node, q[who], norms[who])
+                heapq.heappush(todo, (-bounds.max(), node, who, bounds))
+
+        reach(0, np.arange(n))
+        while todo:
+            _, node, who, bounds = heapq.heappop(todo)
+            who = who[bounds >= np.maximum(kth, best_score[:, -1])[who]]
             if not len(who):
+                continue  # and nothing below the node is looked at
+            if self.children[node] is not None:
+                for child in self.children[node]:
+                    reach(child, who)
                 continue
-            at = self.leaves[leaf]
+            at = self.leaves[self.leaf_of[node]]
             scores = q[who] @ self.vectors[at].T
             scores[query_ids[who][:, None] == self.ids[at][None, :]] = -np.inf
             all_scores = np.concatenate([best_score[who], scores], axis=1)

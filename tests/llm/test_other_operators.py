@@ -207,3 +207,25 @@ def test_ball_tree_bound():
     bound = q @ t.centres.T + np.sqrt((q**2).sum(axis=1))[:, None] * t.radii
     for j, leaf in enumerate(t.leaves):
         assert ((q @ v[leaf].T).max(axis=1) <= bound[:, j] + 1e-6).all()
+
+
+def test_ball_tree_cuts_subtrees(monkeypatch):
+    """Inner nodes hold all vectors below them, and a node left out is left out with its subtree."""
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.integers(-5, 5, (400, 6)) + 500, rng.integers(-5, 5, (400, 6)) - 500])
+    t = topk_search.BallTree(np.arange(800), v, 20)
+
+    def below(node):
+        return t.leaves[t.leaf_of[node]].tolist() if t.children[node] is None else [x for c in t.children[node] for x in below(c)]
+
+    assert sorted(below(0)) == list(range(800)) and len(t.children) == 2 * len(t.leaves) - 1
+    for node, (centre, radius) in enumerate(t.balls):
+        assert (np.sqrt(((v[below(node)] - centre) ** 2).sum(axis=1)) <= radius + 1e-9).all()
+    seen, bound = [], topk_search.BallTree.bound
+    monkeypatch.setattr(topk_search.BallTree, "bound", lambda self, node, *x: seen.append(node) or bound(self, node, *x))
+    q, ids = v[:40], np.arange(40)
+    found = t.search(ids, q, np.full(40, -(2**62)), 5)
+    want = {(i, j, int(q[i] @ v[j])) for i in range(40) for j in sorted((j for j in range(800) if j != i), key=lambda j: (-int(q[i] @ v[j]), j))[:5]}
+    assert set(zip(*(x.tolist() for x in found))) == want
+    away = [c for c in t.children[0] if min(below(c)) >= 400]
+    assert len(away) == 1 and set(seen) & set(t.children[away[0]]) == set() and len(seen) < len(t.children)
