@@ -40,6 +40,8 @@ _APART = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b
 _NO_LETTERS = (b"\xc3\x97", b"\xc3\xb7")
 #: In what is left of a text without them, a mark right before a full stop or comma.
 _JOINED_MARK = re.compile(rb"\S[.,]")
+#: Characters whose lower case or composed form isn't one letter that stands for itself: all but ASCII and U+00C0 to U+017F, and U+0130.
+_UNSAFE = re.compile(rb"[\xc2\xc6-\xff]|\xc4\xb0")
 
 
 class WordEncoder:
@@ -48,10 +50,13 @@ class WordEncoder:
     For tokenizers whose pre-tokenizer never joins characters across white
     space this equals encoding the whole text; ``tests/llm`` checks that. Each
     distinct word goes to the library once per generation of the cache. If the
-    normalizer lower-cases, texts are folded before the look-up: A-Z to lower
+    normalizer lower-cases, texts that hold nothing but ASCII and the letters
+    U+00C0 to U+017F without U+0130 are folded before the look-up: A-Z to lower
     case, and a full stop or comma between a letter and white space apart,
-    which the pre-tokenizer does as well. Words of letters alone are encoded
-    many in one call and told apart by the tokens' end-of-word mark.
+    which the pre-tokenizer does as well. In such a text nothing composes and
+    every letter's lower case is one letter; all others go to the library as
+    they are. Words of letters alone are encoded many in one call and told
+    apart by the tokens' end-of-word mark.
     """
 
     def __init__(self, definition: str, cache_words: int = CACHE_WORDS):
@@ -105,7 +110,7 @@ class WordEncoder:
         if not text:
             return b""
         raw = text.encode("utf-8", "replace")
-        if not self.fold or b"<" in raw:  # "<" may begin a special token, which is told by its case
+        if not self.fold or b"<" in raw or _UNSAFE.search(raw):  # "<" may begin a special token, which is told by its case
             return raw
         raw = raw.lower() + b" "
         if not _JOINED_MARK.search(raw.translate(None, _APART)) and not any(c in raw for c in _NO_LETTERS):

@@ -8,6 +8,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -15,6 +17,7 @@ from citegrain.llm import exact_dedup, language_id, mixing, near_dedup, packing,
 from citegrain.runtime import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+ENCODERS: dict = {}
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 ODD = [
     (1, "The quick brown fox jumps over the lazy dog again and again.", "en", "a", 1),
@@ -270,6 +273,31 @@ def test_word_encoder(spark, sf, name):
                 assert ids.tobytes() == whole(t, text).tobytes()
 
 
+MARKED = ["\u0130.", "\u0130\u015f.", "W\u030a", "T\u0308 x", "A\u030a.", "I\u0307,", "\u1e9e.", "\u00d7.", "\u00df. \u017f, \u0149.", "\u0958.", "\u212a.", "\uac00\u11a8.", "x\u0301. y"]
+
+
+def same_ids(tokenizer, encoder, texts):
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert ids.tobytes() == whole(tokenizer, text).tobytes(), ascii(text)
+
+
+def test_word_encoder_of_every_folded_letter(tokenizer):
+    """All characters that may stand in a folded text, in front of, behind and between what is folded."""
+    e = tokens.WordEncoder(tokens.read_definition(tokens.default_tokenizer()))
+    same_ids(tokenizer, e, MARKED)
+    for c in map(chr, range(0x00C0, 0x0180)):
+        same_ids(tokenizer, e, [f"{c}.", f"A{c}, {c}B. {c}9.", f"{c}'S. {c}'ll, ({c})."])
+
+
+@given(st.lists(st.text(st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("Aa .,'9\u0130\u0307\u030aWT\u00e9\u00dc<|")), max_size=12), max_size=8))
+@settings(max_examples=400, deadline=None)
+def test_word_encoder_over_unicode(texts):
+    path = tokens.default_tokenizer()
+    if path not in ENCODERS:
+        ENCODERS[path] = Tokenizer.from_file(path), tokens.WordEncoder(tokens.read_definition(path))
+    same_ids(*ENCODERS[path], texts)
+
+
 def test_codes_round_trip_and_random_access():
     rng = np.random.default_rng(3)
     for ids in (np.zeros(0, "<u4"), np.array([0]), rng.integers(0, 256, 700), rng.integers(0, 60_000, 5000), rng.integers(0, 2**32, 3000, dtype=np.uint64)):
