@@ -209,7 +209,7 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 _TURNS = """t AS (SELECT user_id AS conv_id, event_id AS turn, 'q' || event_id AS question,
   CASE WHEN event_id % 5 = 0 THEN 'needs-narrowing' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 3 = 0 THEN 'partially-answered' WHEN event_id % 11 = 0 THEN 'needs-narrowing' ELSE 'answered' END AS outcome FROM events)"""
 _TRANS = r"""
-parts AS (SELECT doc_id AS turn_id, [trim(regexp_replace(substr(text, 1 + 60 * i, 50), '[\n\r]', ' ', 'g')) for i in range(7)] AS p FROM documents WHERE doc_id % 2 = 0),
+parts AS (SELECT doc_id AS turn_id, [trim(regexp_replace(substr(text, CAST(1 + ceil(length(text) / 7) * i AS BIGINT), CAST(ceil(length(text) / 7) AS BIGINT)), '[\n\r]', ' ', 'g')) for i in range(7)] AS p FROM documents),
 lines AS (SELECT turn_id, [CASE WHEN turn_id % 10 = 0 THEN 'no outcome' ELSE 'answered' END, p[1] || ' [[p:m' || (turn_id % 9) || ']]', '---', '## ' || p[2], '1. ' || p[3] || ' [[p:m' || ((turn_id + 1) % 9) || ']]',
   '- ' || p[4] || ' [[p:m' || ((turn_id + 4) % 9) || ']] [[p:m' || ((turn_id + 1) % 9) || ']]', '!caveat ' || p[5], '  and more', '', '~uncovered ' || p[6], 'x' || p[7]] AS l FROM parts),
 marks AS (SELECT turn_id, 1 AS pos, 0 AS nth, 'm' || (turn_id % 9) AS passage_id, true AS known FROM lines UNION ALL SELECT turn_id, 4, 0, 'm' || ((turn_id + 1) % 9), true FROM lines

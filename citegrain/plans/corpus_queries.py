@@ -319,7 +319,7 @@ devices AS (SELECT n_name AS device_id, CASE WHEN n_nationkey % 3 = 0 THEN ' MK'
 sources AS (
   SELECT s_name AS source_id, CASE WHEN s_suppkey % 7 = 0 THEN 'authored-triage' ELSE 'vendor-manual' END AS kind, CASE WHEN s_suppkey % 6 = 0 THEN 'unowned' ELSE n_name END AS device,
     CASE WHEN s_suppkey % 2 = 0 THEN 'mk' || n_regionkey END AS revision, CASE WHEN s_suppkey % 3 = 0 THEN 'assumed' ELSE 'confirmed' END AS status
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey <= 20)"""
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 _INITCAP = "array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split({}, ' ')], ' ')"
 _POINTERS = f"""
 sec0 AS (
@@ -345,7 +345,8 @@ ORACLES = {
     "passage_ids": r"""WITH d AS (SELECT doc_id, lang, lang || '#' || substr(sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 1, 16) AS base FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY lang, base ORDER BY doc_id) AS k FROM d) SELECT doc_id, CASE WHEN k > 1 THEN base || '.' || k ELSE base END AS passage_id FROM n""",
     "citation_header": """SELECT doc_id, upper(source[1]) || source[2:] || ' — ' || CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 3 > 0 THEN '§' || (doc_id % 7) || '.' || (doc_id % 5) || ' ' ELSE '' END || lang || ' › ' || CASE WHEN doc_id % 2 = 0 THEN source || ' › ' ELSE '' END ELSE '' END || substr(text, 1, 20) AS header FROM documents""",
-    "text_keys": rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents) SELECT doc_id, sha256({_fold(_WS.format('line'))}) AS symptom, sha256({_title("(doc_id % 9) || '.2 ' || line")}) AS title, sha256(regexp_replace({_fold(_WS.format('line'))}, '[0-9]+', '#', 'g')) AS furniture FROM l""",
+    "text_keys": rf"""SELECT doc_id, sha256({_fold(_WS.format('text'))}) AS symptom, sha256(array_to_string([{_title("(doc_id % 9) || '.2 ' || line")} for line in string_split(text, chr(10))], chr(10))) AS title,
+  sha256(array_to_string([regexp_replace({_fold(_WS.format('line'))}, '[0-9]+', '#', 'g') for line in string_split(text, chr(10))], chr(10))) AS furniture FROM documents""",
     "entry_keys": rf"""SELECT doc_id, sha256({_fold(_WS.format('text'))} || chr(10) || least(source, lang) || chr(10) || greatest(source, lang)) AS entry_key FROM documents""",
     "first_sentences": rf"""WITH f AS (SELECT doc_id, {_WS.format('text')} AS flat FROM documents) SELECT doc_id, CASE WHEN flat <> '' THEN CASE WHEN regexp_matches(flat, '[.!?] ') THEN regexp_extract(flat, '^(.*?[.!?]) ', 1) ELSE flat END END AS sentence FROM f""",
     "section_numbers": r"""WITH p AS (SELECT p_partkey, p_name, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN (p_size % 30) || '.1' ELSE p_size || '.2.3' END AS number FROM part) SELECT p_partkey, coalesce(number, 'none') AS number, p_name AS title FROM p""",
@@ -386,7 +387,7 @@ SELECT doc_id, coalesce(last_value(verdict IGNORE NULLS) OVER (PARTITION BY sour
     "pointer_states": f"""WITH {_POINTERS}, k AS (SELECT *, CASE WHEN number IS NOT NULL THEN source_id || ' §' || number ELSE source_id || ' "' || key || '"' END AS pointer FROM why),
 l AS (SELECT DISTINCT pointer FROM k WHERE pid % 2 = 0 AND (number IS NOT NULL OR title IS NOT NULL))
 SELECT CASE WHEN reason = 'ok' THEN 'ok' WHEN reason <> 'authored-target' AND l.pointer IS NOT NULL THEN 'drifted' ELSE 'rejected' END AS state, count(*) AS n FROM k LEFT JOIN l ON k.pointer = l.pointer GROUP BY 1""",
-    "ledger_update": """WITH o AS (SELECT 'k' || (o_orderkey % 500) AS pointer, o_custkey FROM orders WHERE o_orderkey % 10 = 0),
+    "ledger_update": """WITH o AS (SELECT 'k' || (o_orderkey % 500) AS pointer, o_custkey FROM orders),
 a AS (SELECT pointer, CAST(min(o_custkey) AS VARCHAR) AS ids FROM o WHERE o_custkey % 2 = 0 GROUP BY pointer), b AS (SELECT pointer, CAST(min(o_custkey) AS VARCHAR) AS ids FROM o GROUP BY pointer)
 SELECT coalesce(a.pointer, b.pointer) AS pointer, CASE WHEN a.ids = b.ids OR b.ids IS NULL THEN 't0' ELSE 't1' END AS resolved_at, coalesce(b.ids, a.ids) AS passages, CASE WHEN a.ids = b.ids OR b.ids IS NULL THEN 'e' ELSE 'f' END AS entries FROM a FULL JOIN b ON a.pointer = b.pointer""",
     "duplicate_symptoms": rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS f, {_fold(_WS.format('text'))} AS k, unnest([source, lang]) AS device FROM documents), e AS (SELECT DISTINCT * FROM d),
