@@ -176,37 +176,67 @@ def brute(vectors):
     return out
 
 
-def search(spark, vectors):
-    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("score", pii.F.lit(1)).withColumn("kth", pii.F.lit(2))
-    return {tuple(r) for r in topk_search.exact_top_k(Workspace(spark, "t"), df).select("query_id", "rank", "vec_id", "score").collect()}
+def search(spark, vectors, kind="float"):
+    df = spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>").withColumn("score", pii.F.lit(1)).withColumn("kth", pii.F.lit(2))
+    return sorted(tuple(r) for r in topk_search.exact_top_k(Workspace(spark, "t"), df).select("query_id", "rank", "vec_id", "score").collect())
 
 
-def test_search(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "SHARD", 150)
-    monkeypatch.setattr(topk_search, "LEAF", 16)
-    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 7)
+def small_parts(monkeypatch, **more):
+    for name, value in {"SHARD": 150, "QUERY_BLOCK": 7, "FIRST_WAVE": 120, "GROWTH": 1, "REGION_ROWS": 100, **more}.items():
+        monkeypatch.setattr(topk_search, name, value)
+
+
+@pytest.mark.parametrize("lot", [8192, 2])
+def test_search(spark, monkeypatch, lot):
+    """Many shards, waves and lots; ties; vectors that take no part."""
+    small_parts(monkeypatch, LOT=lot)
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(0, 0.3, 8).astype(np.float32).tolist()) for i in range(700)]
     vectors += [(1000 + i, vectors[40][1]) for i in range(60)]  # many equal vectors: ties
     vectors += [(2000, None), (2020, [None] * 8), (2040, [float("nan")] * 8), (2060, [float("inf")] * 8), (None, vectors[0][1]), (-20, vectors[3][1])]
-    assert search(spark, vectors) == brute(vectors)
+    assert search(spark, vectors) == sorted(brute(vectors))
+
+
+def test_search_of_large_components(spark, monkeypatch):
+    """Sums beyond 2**53, which float64 can't hold, are exact; beyond 64 bits they are an error."""
+    small_parts(monkeypatch)
+    rng = np.random.default_rng(5)
+    vectors = [(i, (rng.normal(0, 1, 6) * 1e6).tolist()) for i in range(400)]
+    found = search(spark, vectors, "double")
+    assert found == sorted(brute(vectors)) and max(abs(r[3]) for r in found) > 2**50
+    with pytest.raises(Exception, match="64 bits"):
+        search(spark, [(i, [1e12, 1e12]) for i in range(25)], "double")
+
+
+def test_search_of_repeated_ids(spark, monkeypatch):
+    """Rows with one vec_id are candidates each and one query, with the smallest of their vectors."""
+    small_parts(monkeypatch)
+    rng = np.random.default_rng(6)
+    vectors = [(i % 90, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(300)]
+    ints = [(i, np.floor(64 * np.array(v)).astype(int).tolist()) for i, v in vectors]
+    want = []
+    for q in range(0, 90, 20):
+        mine = min(v for i, v in ints if i == q)
+        scored = sorted((-int(np.dot(mine, v)), i) for i, v in ints if i != q)[:20]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored, 1)]
+    assert search(spark, vectors) == sorted(want)
 
 
 def test_search_small(spark):
-    vectors = [(0, [1.0, 0.0]), (1, [0.5, -0.5]), (20, [-1.0, 0.25]), (3, [1.0, 2.0, 3.0])]
-    assert search(spark, vectors) == brute(vectors)
-    assert search(spark, []) == set()
+    vectors = [(0, [1.0, 0.0]), (1, [0.5, -0.5]), (20, [-1.0, 0.25]), (3, [1.0, 2.0, 3.0]), (40, []), (41, [])]
+    assert search(spark, vectors) == sorted(brute(vectors))
+    assert search(spark, []) == []
 
 
-def test_ball_tree_bound():
+def test_bounds_hold():
     rng = np.random.default_rng(0)
-    v = rng.integers(-30, 30, (500, 6))
-    t = topk_search.BallTree(np.arange(500), v, 20)
-    assert sorted(np.concatenate(t.leaves).tolist()) == list(range(500))
-    q = rng.integers(-30, 30, (40, 6))
-    bound = q @ t.centres.T + np.sqrt((q**2).sum(axis=1))[:, None] * t.radii
-    for j, leaf in enumerate(t.leaves):
-        assert ((q @ v[leaf].T).max(axis=1) <= bound[:, j] + 1e-6).all()
+    for scale in (30, 10**6):
+        q = rng.integers(-scale, scale, (40, 6)).astype(float)
+        for _ in range(20):
+            v = rng.integers(-scale, scale, (int(rng.integers(1, 60)), 6)).astype(float)
+            centre, radius, longest = topk_search.ball(v)
+            bound = topk_search.bounds(q, np.sqrt((q**2).sum(axis=1)), centre[None], np.array([radius]), np.array([longest]))[:, 0]
+            assert ((q @ v.T).max(axis=1) <= bound).all()
 
 
 def test_ball_tree_cuts_subtrees(monkeypatch):
@@ -216,16 +246,37 @@ def test_ball_tree_cuts_subtrees(monkeypatch):
     t = topk_search.BallTree(np.arange(800), v, 20)
 
     def below(node):
-        return t.leaves[t.leaf_of[node]].tolist() if t.children[node] is None else [x for c in t.children[node] for x in below(c)]
+        return t.members[node].tolist() if t.children[node] is None else [x for c in t.children[node] for x in below(c)]
 
-    assert sorted(below(0)) == list(range(800)) and len(t.children) == 2 * len(t.leaves) - 1
-    for node, (centre, radius) in enumerate(t.balls):
-        assert (np.sqrt(((v[below(node)] - centre) ** 2).sum(axis=1)) <= radius + 1e-9).all()
+    assert sorted(below(0)) == list(range(800)) and len(t.children) == 2 * len(t.members) - 1
+    for node, (centre, radius, longest) in enumerate(t.balls):
+        x = v[below(node)]
+        assert (np.sqrt(((x - centre) ** 2).sum(axis=1)) <= radius + 1e-9).all() and (np.sqrt((x**2).sum(axis=1)) <= longest + 1e-9).all()
     seen, bound = [], topk_search.BallTree.bound
     monkeypatch.setattr(topk_search.BallTree, "bound", lambda self, node, *x: seen.append(node) or bound(self, node, *x))
     q, ids = v[:40], np.arange(40)
-    found = t.search(ids, q, np.full(40, -(2**62)), 5)
+    found = t.search(ids, q, np.full(40, topk_search.LOWEST), np.full(40, 2**63 - 1), 5)
     want = {(i, j, int(q[i] @ v[j])) for i in range(40) for j in sorted((j for j in range(800) if j != i), key=lambda j: (-int(q[i] @ v[j]), j))[:5]}
     assert set(zip(*(x.tolist() for x in found))) == want
     away = [c for c in t.children[0] if min(below(c)) >= 400]
     assert len(away) == 1 and set(seen) & set(t.children[away[0]]) == set() and len(seen) < len(t.children)
+    assert t.scanned < 0.6 * t.asked
+
+
+def test_search_leaves_out_what_a_kth_score_rules_out():
+    """With a k-th candidate known, only what comes before it is returned, by score and then by id."""
+    t = topk_search.BallTree(np.arange(100), np.repeat([[3], [2]], 50, axis=0), 8)
+    found = t.search(np.array([500]), np.array([[1]]), np.array([3]), np.array([4]), 20)
+    assert found[1].tolist() == [0, 1, 2, 3, 4]
+
+
+def test_shards_lie_together(spark, monkeypatch):
+    """Of clustered vectors, most shards are ruled out before anything is sent."""
+    small_parts(monkeypatch, SHARD=64, FIRST_WAVE=64, REGION_ROWS=32)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (20, 16))
+    vectors = [(i, (centres[i // 100] * 4 + rng.normal(0, 0.05, 16)).tolist()) for i in range(2000)]
+    sent, route = [], topk_search._route
+    monkeypatch.setattr(topk_search, "_route", lambda shared, low, high, size: sent.append((low, high)) or route(shared, low, high, size))
+    assert search(spark, vectors, "double") == sorted(brute(vectors))
+    assert len(sent) > 3
