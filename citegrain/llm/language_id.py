@@ -44,10 +44,11 @@ class LanguageConfig:
     sample_rows: labelled rows at most, for each language, that fill its
     dictionary, those with the smallest hash of doc_id; the rest of the table
     is only counted. dictionary_bytes: of each dictionary, to which a text
-    gives a tenth at most. languages: learned and compared at a time; every one
-    that is named is learned, in groups of so many, so that neither the driver
-    nor a worker holds more than a group's rows or compressors. min_margin: bytes by which the winner must be smaller; min_share: the same
-    as a share of the winner.
+    gives a tenth at most, from its middle. languages: learned and compared at
+    a time; every one that is named is learned, in groups of so many, so that
+    neither the driver nor a worker holds more than a group's rows or
+    compressors. min_margin: bytes by which the winner must be smaller;
+    min_share: the same as a share of the winner.
     """
 
     sample_rows: int = 96
@@ -62,7 +63,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_dictionaries(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by falling frequency, from rows with non-null lang, text and doc_id that aren't held out."""
+    """(language, dictionary) by falling frequency, from rows with non-null lang, text and doc_id that aren't held out; none if there is no such row."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("doc_id") >= F.lit(-(2**63)))).where(~held_out(F.col("doc_id")))
     counts = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     found = []
@@ -76,14 +77,17 @@ def _learn_group(train: DataFrame, counts: list, config: LanguageConfig) -> list
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(scale))
     share = {r.lang: min(scale, math.ceil(scale * 1.5 * (config.sample_rows + 10) / r["count"])) for r in counts}
     below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(x)) for lang, x in share.items()], F.lit(0))
-    rows = train.where(place < below).select("lang", place.alias("place"), "text").collect()
+    most = config.dictionary_bytes // 10
+    # A text gives its middle alone, so only that leaves the executors: a row is bounded, and with it what is collected.
+    middle = F.expr(f"substring(text, int(greatest(1, (length(text) - {2 * most}) / 2 + 1)), {2 * most})")
+    rows = train.where(place < below).select("lang", place.alias("place"), middle.alias("text")).collect()
     found = []
     for lang in share:
         texts = [words_of(r.text) for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.place, r.text))[: config.sample_rows]]
-        parts, room, most = [], config.dictionary_bytes, config.dictionary_bytes // 10
+        parts, room = [], config.dictionary_bytes
         for t in texts:
-            middle = max(0, (len(t) - most) // 2)
-            part = t[middle : middle + min(most, room)]
+            start = max(0, (len(t) - most) // 2)
+            part = t[start : start + min(most, room)]
             parts.append(part)
             room -= len(part)
             if room <= 0:
@@ -141,7 +145,8 @@ def predict_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], co
 
     Null text, no letter, or nothing learned: `und`, score 0, not accepted.
     Clashing columns lang_pred, score, accepted are replaced. Rows keep their
-    number and order; there is no shuffle.
+    number and order, repeated ones and those without doc_id too; there is no
+    shuffle. Empty table: no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -163,7 +168,11 @@ def predict_languages(docs: DataFrame, dictionaries: list[tuple[str, bytes]], co
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every whole text; lang, source and doc_id don't reach the classifier."""
+    """Language of every whole text; lang, source and doc_id don't reach the classifier.
+
+    Null doc_id: told, not held out. Rows repeated with one doc_id: each told.
+    Empty table: no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionaries = learn_dictionaries(docs)
     found = predict_languages(docs.select("doc_id", "text"), dictionaries)
@@ -171,7 +180,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with a clear margin; the columns stay as they are."""
+    """Documents whose language is told with a clear margin; the columns stay as they are.
+
+    If no row names a language there is nothing to tell languages by, and so
+    nothing to reject: all rows stay. Empty table: no rows.
+    """
+    learned = learn_dictionaries(docs)
+    if not learned:
+        return docs
     # Rows travel as one column, so that theirs may have any names.
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return predict_languages(held, learn_dictionaries(docs)).where("accepted").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return predict_languages(held, learned).where("accepted").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
