@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +43,32 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, where all is one machine, one of our own if unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         at = os.path.join(tempfile.gettempdir(), "checkpoints", "citegrain")
         os.makedirs(at, exist_ok=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Lists that new workspaces are entered in.
+_WATCHED: list[list["Workspace"]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list["Workspace"]]:
+    """The workspaces that are made inside, for who wants to delete them."""
+    made: list[Workspace] = []
+    _WATCHED.append(made)
+    try:
+        yield made
+    finally:
+        _WATCHED.remove(made)
+
+
 class Workspace:
     """Tables of one operator run, under one folder of the shared root.
 
@@ -61,6 +80,8 @@ class Workspace:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.at = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        for made in _WATCHED:
+            made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.at}/{name}"

@@ -61,7 +61,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("citegrain.llm") or name == "corpus_pipeline":
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert not any(q.startswith("op") and q[2].isdigit() or q == "pipeline" for q in e.queries())
