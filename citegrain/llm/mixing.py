@@ -148,6 +148,8 @@ class Plan:
     extra: DataFrame  # doc_id, source, block, epoch: rows of the last block, which is taken in part
     sources: DataFrame  # source, weight, exponent, budget and so on
     few: bool  # the sources may be broadcast
+    blocks: DataFrame  # source, block, rows, full: whole epochs of the source
+    small: bool  # the blocks may be broadcast
 
 
 def _with_block(df: DataFrame, sources: DataFrame, few: bool, config: MixConfig) -> DataFrame:
@@ -164,9 +166,9 @@ def plan_mix(ws: Workspace, docs: DataFrame, config: MixConfig = MixConfig()) ->
     sources = _few_sources(spark, totals, config) if few else ws.put("sources", _many_sources(ws.put("totals", sums), config))
     dealt = _with_block(counted, sources, few, config)
     key = place(config.seed, F.col("_source"), F.col("_full"), F.col("_block"))
-    sizes = dealt.groupBy("_source", "_full", "_rest", "_block").agg(F.sum("n_words").alias("size"))
+    sizes = dealt.groupBy("_source", "_full", "_rest", "_block").agg(F.sum("n_words").alias("size"), F.count(F.lit(1)).alias("rows"))
     upto = F.sum("size").over(Window.partitionBy("_source").orderBy(key, "_block"))
-    blocks = ws.put("blocks", sizes.withColumn("_before", upto - F.col("size")).select("_source", "_full", "_block", (F.col("_rest") - F.col("_before")).alias("_room"), "size"))
+    blocks = ws.put("blocks", sizes.withColumn("_before", upto - F.col("size")).select("_source", "_full", "_block", (F.col("_rest") - F.col("_before")).alias("_room"), "size", "rows"))
     taken = F.col("_room") >= F.col("size")
     whole = blocks.select("_source", "_block", (F.col("_full") + taken.cast("long")).alias("epochs"))
     small = (sources.agg(F.sum("_blocks")).first()[0] or 0) <= BROADCAST_BLOCKS
@@ -174,20 +176,30 @@ def plan_mix(ws: Workspace, docs: DataFrame, config: MixConfig = MixConfig()) ->
     cut = blocks.where(~taken & (F.col("_room") > 0)).select("_source", "_block", "_room")
     within = F.sum("n_words").over(Window.partitionBy("_source", "_block").orderBy(place(config.seed + 1, F.col("doc_id"), F.col("_full")), "doc_id"))
     part = dealt.join(F.broadcast(cut) if few else cut, ["_source", "_block"]).withColumn("_upto", within).where("_upto <= _room")
-    return Plan(emitted.select("doc_id", "source", "n_words", "_block", "epochs"), part.select("doc_id", "source", "n_words", "_block", F.col("_full").alias("epoch")), sources, few)
+    return Plan(emitted.select("doc_id", "source", "n_words", "_block", "epochs"), part.select("doc_id", "source", "n_words", "_block", F.col("_full").alias("epoch")), sources, few, blocks.select("_source", "_block", "rows", F.col("_full").alias("full")), small)
 
 
 def mix(ws: Workspace, docs: DataFrame, config: MixConfig = MixConfig()) -> DataFrame:
-    """One row for each emission of a document: doc_id, source, n_words, epoch (from 0), block.
+    """One row for each emission of a document: doc_id, source, n_words, epoch (from 0), block, ordinal.
 
-    A reader takes a source's blocks of an epoch by ``place(seed, source,
-    epoch, block)``. Null text: no words. Null source: as ''. Null doc_id: as
+    ordinal (from 0, gapless) is the emission's place in its source's stream:
+    epoch by epoch, in each the blocks in a permutation of its own, in a block
+    the rows in one. Null text: no words. Null source: as ''. Null doc_id: as
     any other. Rows repeated with one doc_id are emitted alike. A source
-    without any word: each row once. Empty table: no rows.
+    without any word: each row once. Empty table: no rows. Other columns take
+    no part.
     """
     p = plan_mix(ws, docs, config)
     often = p.words.where("epochs > 0").select("doc_id", "source", "n_words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"), "_block")
-    return often.unionByName(p.extra).select("doc_id", "source", "n_words", "epoch", F.col("_block").alias("block"))
+    out = often.unionByName(p.extra).withColumn("_source", F.coalesce("source", F.lit("")))
+    # Blocks number about the square root of the rows, and so do a block's rows: neither window is large.
+    each = p.blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
+    order = Window.partitionBy("_source", "epoch").orderBy(place(config.seed, F.col("_source"), F.col("epoch"), F.col("_block")), "_block")
+    before = each.select("_source", "epoch", "_block", (F.sum("rows").over(order) - F.col("rows")).alias("_first"))
+    total = p.blocks.groupBy("_source").agg(F.sum("rows").alias("_rows"))
+    placed = out.join(F.broadcast(before) if p.small and p.few else before, ["_source", "epoch", "_block"]).join(F.broadcast(total) if p.few else total, "_source")
+    nth = F.row_number().over(Window.partitionBy("_source", "epoch", "_block").orderBy(place(config.seed + 1, F.col("doc_id"), F.col("epoch")), "doc_id"))
+    return placed.select("doc_id", "source", "n_words", "epoch", F.col("_block").alias("block"), (F.col("epoch") * F.col("_rows") + F.col("_first") + nth - 1).alias("ordinal"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,10 +251,17 @@ def oracle_op6(config: MixConfig = MixConfig()) -> str:
         "b AS (SELECT t.s, t.words, CAST(ceil(sqrt(t.n)) AS BIGINT) AS blocks, CAST(floor((SELECT max(words / p) FROM w) * coalesce(w.p, 0) + 1e-6) AS BIGINT) AS budget FROM t LEFT JOIN w ON t.s = w.s)",
         "f AS (SELECT s, blocks, CASE WHEN words > 0 THEN budget // words ELSE 1 END AS full_, CASE WHEN words > 0 THEN budget % words ELSE 0 END AS rest FROM b)",
         f"g AS (SELECT d.*, f.full_, f.rest, {h(config.seed, 'doc_id')} % blocks AS block FROM d JOIN f ON d.s = f.s)",
-        "z AS (SELECT s, full_, rest, block, sum(n_words) AS size FROM g GROUP BY ALL)",
+        "z AS (SELECT s, full_, rest, block, sum(n_words) AS size, count(*) AS n FROM g GROUP BY ALL)",
         f"y AS (SELECT s, full_, block, size, rest - (sum(size) OVER (PARTITION BY s ORDER BY {h(config.seed, 's', 'full_', 'block')}, block) - size) AS room FROM z)",
         "k AS (SELECT g.*, y.room, y.size FROM g JOIN y ON g.s = y.s AND g.block = y.block)",
-        "a AS (SELECT doc_id, source, n_words, unnest(range(full_ + CASE WHEN room >= size THEN 1 ELSE 0 END)) AS epoch, block FROM k)",
-        f"c AS (SELECT doc_id, source, n_words, full_ AS epoch, block, room, sum(n_words) OVER (PARTITION BY s, block ORDER BY {h(config.seed + 1, 'doc_id', 'full_')}, doc_id) AS upto FROM k WHERE room < size AND room > 0)",
+        "o AS (SELECT s, full_, block, n, unnest(range(full_ + 1)) AS epoch FROM z)",
+        f"q AS (SELECT s, epoch, block, sum(n) OVER (PARTITION BY s, epoch ORDER BY {h(config.seed, 's', 'epoch', 'block')}, block) - n AS first FROM o)",
+        "a AS (SELECT doc_id, source, s, n_words, unnest(range(full_ + CASE WHEN room >= size THEN 1 ELSE 0 END)) AS epoch, block FROM k)",
+        f"c AS (SELECT doc_id, source, s, n_words, full_ AS epoch, block, room, sum(n_words) OVER (PARTITION BY s, block ORDER BY {h(config.seed + 1, 'doc_id', 'full_')}, doc_id) AS upto FROM k WHERE room < size AND room > 0)",
     ]
-    return "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, source, n_words, epoch, block FROM a UNION ALL SELECT doc_id, source, n_words, epoch, block FROM c WHERE upto <= room"
+    ctes += [
+        "u2 AS (SELECT doc_id, source, s, n_words, epoch, block FROM a UNION ALL SELECT doc_id, source, s, n_words, epoch, block FROM c WHERE upto <= room)",
+        f"v2 AS (SELECT *, row_number() OVER (PARTITION BY s, epoch, block ORDER BY {h(config.seed + 1, 'doc_id', 'epoch')}, doc_id) - 1 AS nth FROM u2)",
+    ]
+    last = "SELECT v2.doc_id, v2.source, v2.n_words, v2.epoch, v2.block, CAST(v2.epoch * t.n + q.first + v2.nth AS BIGINT) AS ordinal FROM v2 JOIN q ON q.s = v2.s AND q.epoch = v2.epoch AND q.block = v2.block JOIN t ON t.s = v2.s"
+    return "WITH " + ",\n".join(ctes) + "\n" + last
