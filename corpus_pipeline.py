@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from citegrain.llm import exact_dedup, language_id, mixing, near_dedup, packing
-from citegrain.runtime import Workspace
-
-
-def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+from citegrain.runtime import Workspace, scratch
 
 
 STAGES = [
@@ -17,7 +13,7 @@ STAGES = [
     ("exact_dedup", exact_dedup.stage_exact_dedup),
     ("near_dedup", near_dedup.stage_near_dedup),
     ("mixing", mixing.stage_mixing),
-    ("packing", stage_packing),
+    ("packing", packing.stage_packing),
 ]
 
 #: Compression sizes, hash bands and token ids are beyond SQL; tests/llm compares with plain Python.
@@ -25,9 +21,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over the table documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage works with is deleted once its rows are written, and its rows
+    once the next stage's are.
+    """
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = ws.put(name, stage(spark, docs, sf_dir))
+        with scratch() as used:
+            docs = ws.put(name, stage(spark, docs, sf_dir))
+        for other in used:
+            if other.at != ws.at:
+                other.clear()
+        if before:
+            ws.drop(before)
+        before = name
     return docs
