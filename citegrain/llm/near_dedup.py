@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import Workspace, ship
+from .bounded import to_rows
 from .components import connected_components
 from .shingles import forget_words, shingle_set
 from .worker import take_over
@@ -35,8 +36,8 @@ from .worker import take_over
 PERMUTATIONS, BANDS = 64, 32
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-#: Shingles of one block; a larger cluster is compared block by block, in separate groups.
-BLOCK_SHINGLES = 1 << 20
+#: Shingles and rows of one block; a larger cluster is compared block by block, in separate groups.
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 18, 256
 _RNG = np.random.default_rng(20240607)
 _A = _RNG.integers(0, 2**31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, PERMUTATIONS, np.uint32)
@@ -203,7 +204,8 @@ def near_duplicates(ws: Workspace, docs: DataFrame) -> DataFrame:
     best = ws.put("best", votes.groupBy("rep").agg(F.max_by("hub", F.struct("bands", -F.col("hub"))).alias("hub")).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
     # Texts of one row of each class that has company; the class's smallest doc_id stands for it.
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(crowd.select("rep").distinct().hint("merge"), "rep", "left_semi")
+    asked_for = ws.put("asked-for", crowd.select("rep").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(to_rows(asked_for), "rep", "left_semi")
     sets = ws.put("sets", _sets(texts), codec="lz4")
 
     links = ws.put("links-1", _confirmed(best, sets))
@@ -211,11 +213,13 @@ def near_duplicates(ws: Workspace, docs: DataFrame) -> DataFrame:
     clusters = connected_components(ws, votes.select(F.col("rep").alias("a"), F.col("hub").alias("b")), "clusters").select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     weighed = sets.select("rep", F.size("shingles").cast("long").alias("weight"))
     named = ws.put("named", clusters.join(merged, "rep", "left").join(weighed, "rep").select("rep", "cluster", F.coalesce("component", "rep").alias("component"), "weight"))
+    # A block is bounded in rows and in shingles, so a cluster of many short texts is split like one of long ones.
     parts = named.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     largest = F.max(F.struct("n", (-F.col("component")).alias("minus"), "weight")).alias("top")
-    mixed = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("weight").alias("all"), largest).where("k > 1")
-    blocks = lambda w: F.ceil(w / BLOCK_SHINGLES).cast("int")
-    mixed = mixed.select("cluster", (-F.col("top.minus")).alias("main"), blocks(F.col("all")).alias("n_block"), blocks(F.col("all") - F.col("top.weight")).alias("n_ask"))
+    mixed = parts.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("rows"), F.sum("weight").alias("all"), largest).where("k > 1")
+    blocks = lambda w, n: F.greatest(F.ceil(w / BLOCK_SHINGLES), F.ceil(n / BLOCK_ROWS)).cast("int")
+    n_block, n_ask = blocks(F.col("all"), F.col("rows")), blocks(F.col("all") - F.col("top.weight"), F.col("rows") - F.col("top.n"))
+    mixed = mixed.select("cluster", (-F.col("top.minus")).alias("main"), n_block.alias("n_block"), n_ask.alias("n_ask"))
     rest = named.join(mixed, "cluster")
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
@@ -239,10 +243,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that with the smallest doc_id; the columns stay as they are."""
+    """One document of each group, that with the smallest doc_id; the columns stay as they are.
+
+    Rows without doc_id, and those whose text is null or has no word, stay.
+    """
     ws = Workspace(spark, "near-dedup")
-    gone = ws.put("found", near_duplicates(ws, docs)).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = ws.put("gone", near_duplicates(ws, docs).where("NOT kept").select("doc_id").distinct())
+    return docs.join(to_rows(gone), docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
 
 
 ORACLE_OP3 = r"""
