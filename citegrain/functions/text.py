@@ -27,6 +27,8 @@ POINTER = r'^\s*(\S+?)(?:\s*§\s*([^\s"“”]+))?(?:\s*["“]([^"”]*)["”])?
 #: A printed heading with its number, and a contents line: number, title, page.
 SECTION = r"^\(?(\d+(?:\.\d+)*)\)?[.\s]\s*(\S.*)$"
 CONTENTS = r"^\(?(\d+(?:\.\d+)*)?\)?\s*(\S.*?)[\s.]{3,}(\d+)$"
+#: A cell that is a number.
+WHOLE_NUMBER = r"[-+(]?\d+(?:[.,]\d+)*\)?"
 # ------------------------------------------------------------------------
 
 
@@ -161,7 +163,7 @@ def contents_line(c: Column) -> Column:
 
 
 def is_numeric_cell(c: Column) -> Column:
-    return F.trim(c).rlike(r"\A[-+(]?\d+(?:[.,]\d+)*\)?\z")
+    return F.trim(c).rlike(rf"\A{WHOLE_NUMBER}\z")
 
 
 def word_count(c: Column) -> Column:

@@ -12,9 +12,11 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.words import canonical
@@ -139,21 +141,35 @@ PACKED = "source_id string, region int, part int, text string, page_start int, p
 def pack_regions(units: DataFrame) -> DataFrame:
     """Packed passages of each (source_id, region); units have a position and the fields of Unit.
 
-    One group is one region's units: a section, never a source.
+    Regions are dealt out by hash and lie sorted in their task, which goes
+    through them one after the other: a group is one region's units, a section,
+    never a source.
     """
     ship(units.sparkSession)
     present = [c for c in UNIT_FIELDS if c in units.columns]
-
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("position")
-        clean = [{k: (None if pd.isna(v) else (int(v) if k.startswith("page") else v)) for k, v in zip(present, row)} for row in group[present].itertuples(index=False)]
-        made = [Unit(**{k: v for k, v in row.items() if v is not None}) for row in clean if row.get("text") is not None]
-        rows = [{"source_id": key[0], "region": key[1], "part": i, **p.row()} for i, p in enumerate(pack(made))]
-        columns = [c.split()[0] for c in PACKED.split(", ")]
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({"page_start": "Int32", "page_end": "Int32"})
-
-    return units.groupBy("source_id", "region").applyInPandas(run, PACKED)
+    schema = to_arrow_schema(StructType.fromDDL(PACKED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passages(key: tuple, held: list[Unit]) -> list[dict]:
+            return [{"source_id": key[0], "region": key[1], "part": i, **p.row()} for i, p in enumerate(pack(held))]
+
+        now, held, out = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = row["source_id"], row["region"]
+                if key != now:
+                    out += passages(now, held) if now else []
+                    now, held = key, []
+                if row["text"] is not None:
+                    held.append(Unit(**{k: row[k] for k in present if row[k] is not None}))
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out = []
+        if now:
+            yield pa.RecordBatch.from_pylist(passages(now, held), schema=schema)
+
+    dealt = units.repartition("source_id", "region").sortWithinPartitions("source_id", "region", "position")
+    return dealt.select("source_id", F.col("region").cast("int").alias("region"), *present).mapInArrow(run, PACKED)
 
 
 def chunk_sources(units: DataFrame, regions: DataFrame, sources: DataFrame) -> DataFrame:

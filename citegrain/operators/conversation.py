@@ -42,11 +42,17 @@ def narrowing_state(turns: DataFrame) -> DataFrame:
 
 
 def history(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:
-    """Adds history: the last exchanges with content outcomes before each turn, oldest first."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    said = F.when(is_content(F.col("outcome")), exchange(F.col("question"), F.col("answer")))
-    # collect_list passes over nulls; only the last few are kept of the ordered frame.
-    return turns.withColumn("_said", said).withColumn("history", F.slice(F.reverse(F.collect_list("_said").over(w)), 1, keep)).withColumn("history", F.reverse("history")).drop("_said")
+    """Adds history: the last exchanges with content outcomes before each turn, oldest first.
+
+    A content turn holds itself and the few before it, and every turn takes the
+    last such list: no frame is gathered, however long a conversation is.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    content = turns.where(is_content(F.col("outcome"))).withColumn("_said", exchange(F.col("question"), F.col("answer")))
+    lists = content.select("conv_id", "turn", F.array_compact(F.array(*[F.lag("_said", n).over(w) for n in range(keep - 1, 0, -1)], "_said")).alias("_upto"))
+    before = F.last("_upto", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    joined = turns.join(lists, ["conv_id", "turn"], "left")
+    return joined.withColumn("history", F.coalesce(before, F.array().cast("array<string>"))).drop("_upto").select(*turns.columns, "history")
 
 
 def recent_exchanges(turns: DataFrame, keep: int = HISTORY_TURNS) -> DataFrame:

@@ -114,7 +114,7 @@ def source_slices(counts: DataFrame) -> DataFrame:
 def with_applicability(sources: DataFrame, declared: DataFrame) -> DataFrame:
     """Sources with the inventory's declaration (device, revision, status) in place of the default; authored ones stay."""
     d = declared.select("source_id", *[F.col(c).alias(f"d_{c}") for c in ("device", "revision", "status")], F.lit(True).alias("declared"))
-    joined = sources.join(F.broadcast(d), "source_id", "left")
+    joined = sources.join(d, "source_id", "left")
     take = F.col("declared").isNotNull() & (F.col("kind") != "authored-triage")
     return joined.withColumns({c: F.when(take, F.col(f"d_{c}")).otherwise(F.col(c)) for c in ("device", "revision", "status")}).drop("d_device", "d_revision", "d_status", "declared")
 
@@ -128,7 +128,7 @@ def owned_but_undocumented(devices: DataFrame, sources: DataFrame) -> DataFrame:
 def documented_but_unconfirmed(devices: DataFrame, sources: DataFrame) -> DataFrame:
     """Sources about an owned device, unless confirmed for the very revision that is owned."""
     owned = devices.select("device_id", F.col("revision").alias("owned_revision"))
-    joined = sources.join(F.broadcast(owned), F.col("device") == F.col("device_id"))
+    joined = sources.join(owned, F.col("device") == F.col("device_id"))
     same = T.revision_trimmed(F.col("revision")) == T.revision_trimmed(F.col("owned_revision"))
     return joined.where(~((F.col("status") == "confirmed") & same)).select("source_id", "display_name", "device_id", "status", F.col("revision").alias("declared_revision"), "owned_revision")
 
@@ -167,7 +167,14 @@ def search_sections(passages: DataFrame, term: str, limit: int = 40) -> DataFram
 
 
 def nearest_rank(values: DataFrame, key: str, value: str, share: float = 0.95) -> DataFrame:
-    """(key, count, result): the value at index round-half-even(share * (n - 1)) of each group, by counting, not by gathering."""
-    w = Window.partitionBy(key).orderBy(value)
-    placed = values.where(F.col(value).isNotNull()).select(key, value, (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(key)).alias("n"))
-    return placed.where(F.col("i") == F.least(F.col("n") - 1, F.bround(share * (F.col("n") - 1)).cast("int"))).select(key, F.col("n").alias("count"), F.col(value).alias("result"))
+    """(key, count, result): the value at index round-half-even(share * (n - 1)) of each group.
+
+    Equal values are counted before they meet; a group's distinct values are
+    then summed up in order, and the first that reaches the index is it.
+    """
+    counted = values.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counted.groupBy(key).agg(F.sum("n").alias("all"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    index = F.least(F.col("all") - 1, F.bround(share * (F.col("all") - 1)).cast("long"))
+    reached = counted.withColumn("upto", upto).join(totals, key).where(F.col("upto") > index)
+    return reached.groupBy(key).agg(F.first("all").alias("count"), F.min(value).alias("result"))

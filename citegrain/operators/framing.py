@@ -7,6 +7,7 @@ whose first line names no outcome is all body, and no field is taken from it.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -76,93 +77,107 @@ def _told(line: str, table) -> tuple[str, re.Match] | tuple[None, None]:
     return None, None
 
 
-def _groups(lines: list[str], fields: bool) -> Iterator[tuple[str, list[str]]]:
-    """(kind, lines) of the body: a block or field with the lines that continue it.
+#: How the lines begin that continue what is open; a cause takes one, the others any number.
+_CONTINUES = {"conflict": "- ", "narrow": "* ", "cause": "check: ", "caveat": "  "}
+
+
+class Reader:
+    """Reads an answer as it comes: ``feed`` takes text or bytes and gives the blocks that it closed, ``close`` the rest.
 
     Readings continue a conflict, indented lines a caveat, starred lines a
     narrowing question, a check line a cause. Paragraphs run on over plain
-    lines. A blank line ends whatever is open.
+    lines. A blank line ends whatever is open. Any stream gives an answer;
+    nothing raises, and bytes that aren't UTF-8 are replaced.
     """
-    kind, held = "", []
-    for line in lines:
+
+    def __init__(self):
+        self.answer = Answer()
+        self._decode = codecs.getincrementaldecoder("utf-8")("replace").decode
+        self._rest, self._lines = "", 0
+        self._kind, self._held = "", []
+        self._whole, self._asked = True, False
+
+    def feed(self, data: str | bytes) -> list[dict]:
+        before = len(self.answer.blocks)
+        *whole, self._rest = (self._rest + (self._decode(data) if isinstance(data, bytes) else data)).split("\n")
+        for line in whole:
+            self._line(line.rstrip("\r"))
+        return self.answer.blocks[before:]
+
+    def close(self) -> list[dict]:
+        before = len(self.answer.blocks)
+        self._rest += self._decode(b"", True)
+        if self._rest:
+            self._line(self._rest.rstrip("\r"))
+            self._rest = ""
+        self._end()
+        if self._lines:
+            self.answer.framing = "parsed" if self.answer.parsed and self._whole else "unparsed"
+        return self.answer.blocks[before:]
+
+    def _line(self, line: str) -> None:
+        """The first three lines have places of their own, if the first names an outcome; the rest is body."""
+        a, n = self.answer, self._lines
+        self._lines += 1
+        if n == 0:
+            a.line_one = line.strip()
+            a.parsed = a.line_one in CONTENT_OUTCOMES
+        if a.parsed and n == 1:
+            a.direct_answer = line.strip() or None
+        elif not a.parsed or (n > 1 and not (n == 2 and line.strip() == "---")):
+            self._body(line)
+
+    def _body(self, line: str) -> None:
         if not line.strip():
-            if held:
-                yield kind, held
-            kind, held = "", []
-            continue
-        continues = (
-            (kind == "conflict" and line.startswith("- "))
-            or (kind == "narrow" and line.startswith("* "))
-            or (kind == "cause" and line.startswith("check: "))
-            or (kind == "caveat" and line.startswith("  "))
-        )
-        if continues:
-            held.append(line)
-            if kind == "cause":  # a cause has one check
-                yield kind, held
-                kind, held = "", []
-            continue
-        name, _ = _told(line, _BLOCKS)
-        if name is None and fields:
-            name, _ = _told(line, _FIELDS)
-        name = name or "paragraph"
+            self._end()
+            return
+        goes_on = _CONTINUES.get(self._kind)
+        if goes_on and line.startswith(goes_on):
+            self._held.append(line)
+            if self._kind == "cause":  # a cause has one check
+                self._end()
+            return
+        name = _told(line, _BLOCKS + _FIELDS if self.answer.parsed else _BLOCKS)[0] or "paragraph"
         # A caveat, a cause or a question stays open over plain lines, which are a paragraph of their own.
-        if name == "paragraph" and kind == "paragraph":
-            held.append(line)
-            continue
-        if held:
-            yield kind, held
-        kind, held = name, [line]
-    if held:
-        yield kind, held
+        if name == self._kind == "paragraph":
+            self._held.append(line)
+            return
+        self._end()
+        self._kind, self._held = name, [line]
 
-
-def read_answer(stream: str | bytes | None) -> Answer:
-    """Any stream gives an answer; nothing raises. Bytes that aren't UTF-8 are replaced."""
-    text = stream.decode("utf-8", "replace") if isinstance(stream, bytes) else stream or ""
-    lines = [x.rstrip("\r") for x in text.split("\n")]
-    if lines[-1] == "":
-        lines.pop()
-    a = Answer()
-    if not lines:
-        return a
-    a.line_one = lines[0].strip()
-    a.parsed = a.line_one in CONTENT_OUTCOMES
-    body = lines
-    if a.parsed:
-        a.direct_answer = (lines[1].strip() or None) if len(lines) > 1 else None
-        body = lines[3:] if len(lines) > 2 and lines[2].strip() == "---" else lines[2:]
-    whole = True
-
-    def block(kind: str, text: str, number: int | None = None, readings: list[str] | None = None) -> None:
+    def _block(self, kind: str, text: str, number: int | None = None, readings: list[str] | None = None) -> None:
         found = markers_in(text) + [m for r in readings or [] for m in markers_in(r)]
-        a.blocks.append({"pos": len(a.blocks), "type": kind, "number": number, "text": text, "markers": found, "readings": readings or []})
-
-    asked = False
-    for kind, held in _groups(body, a.parsed):
-        first, rest = held[0], held[1:]
+        self.answer.blocks.append({"pos": len(self.answer.blocks), "type": kind, "number": number, "text": text, "markers": found, "readings": readings or []})
+
+    def _end(self) -> None:
+        """What is open becomes a block or a field."""
+        a, kind, held = self.answer, self._kind, self._held
+        self._kind, self._held = "", []
+        if not held:
+            return
         if kind == "paragraph":
-            block(kind, " ".join(x.strip() for x in held))
-            continue
+            self._block(kind, " ".join(x.strip() for x in held))
+            return
+        first, rest = held[0], held[1:]
         m = _told(first, _BLOCKS + _FIELDS)[1]
         value = m.groups()[-1]
         if kind == "step":
-            block(kind, value.strip(), int(m[1]))
+            self._block(kind, value.strip(), int(m[1]))
         elif kind == "caveat":
-            block(kind, " ".join([value.strip(), *(x.strip() for x in rest)]))
+            self._block(kind, " ".join([value.strip(), *(x.strip() for x in rest)]))
         elif kind == "conflict":
-            block(kind, value.strip(), readings=[x[2:] for x in rest])
-            whole = whole and len(rest) == 2
+            self._block(kind, value.strip(), readings=[x[2:] for x in rest])
+            self._whole = self._whole and len(rest) == 2
         elif kind in ("heading", "bullet"):
-            block(kind, value.strip())
+            self._block(kind, value.strip())
         elif kind == "uncovered":
             a.uncovered.append(value.strip())
         elif kind == "narrow":
-            if not asked:
-                a.narrow_question, a.narrow_candidates, asked = value.strip(), [x[2:].strip() for x in rest], True
+            if not self._asked:
+                a.narrow_question, a.narrow_candidates, self._asked = value.strip(), [x[2:].strip() for x in rest], True
             else:  # a second question is dropped, and its starred lines are prose
                 for x in rest:
-                    block("paragraph", x.strip())
+                    self._block("paragraph", x.strip())
         elif kind == "cause":
             check = rest[0].removeprefix("check: ") if rest else ""
             a.causes.append({"rank": len(a.causes) + 1, "statement": bare(value), "check": bare(check), "cites": markers_in(value) + markers_in(check)})
@@ -171,8 +186,14 @@ def read_answer(stream: str | bytes | None) -> Answer:
         elif kind == "suggest":
             if value.strip() not in a.suggestions:
                 a.suggestions.append(value.strip())
-    a.framing = "parsed" if a.parsed and whole else "unparsed"
-    return a
+
+
+def read_answer(stream: str | bytes | None) -> Answer:
+    """A whole stream at once."""
+    r = Reader()
+    r.feed(stream or "")
+    r.close()
+    return r.answer
 
 
 def parse_answers(transcripts: DataFrame, key: str = "turn_id", text: str = "stream") -> DataFrame:

@@ -59,7 +59,10 @@ def ungrounded_blocks(texts: DataFrame, uses: DataFrame, key: str = "turn_id") -
 
 
 def build_citations(cited: DataFrame, passages: DataFrame, sources: DataFrame, unbacked: DataFrame | None = None, key: str = "turn_id") -> DataFrame:
-    """The fields of each citation; passages and sources join by id. unbacked(key, passage_id): causes without a fix this turn."""
+    """The fields of each citation; passages and sources join by id, and what they don't have is null. unbacked(key, passage_id): causes without a fix this turn."""
+    for name in ("hardware_applicability", "doc_version"):
+        if name not in sources.columns:
+            sources = sources.withColumn(name, F.lit(None).cast("string"))
     rows = cited.join(passages, "passage_id").join(sources.select("source_id", "display_name", "kind", "hardware_applicability", "doc_version"), "source_id")
     if unbacked is not None:
         rows = rows.join(unbacked.select(key, "passage_id", F.lit(True).alias("_mark")), [key, "passage_id"], "left").withColumn("unbacked", F.col("unbacked") | F.coalesce("_mark", F.lit(False))).drop("_mark")
@@ -67,11 +70,16 @@ def build_citations(cited: DataFrame, passages: DataFrame, sources: DataFrame, u
 
 
 def resolve_devices(names: DataFrame, undocumented: DataFrame, key: str = "turn_id") -> DataFrame:
-    """(key, device, display_name, filename): a name that the gap report knows by id or display name, else as it is."""
+    """(key, device, display_name, filename): a name that the gap report knows by id or display name, else as it is.
+
+    Each device is listed under both of its names, so that one equi-join finds
+    it; an id goes before a display name, and of equal names the first id.
+    """
     known = undocumented.select("device_id", F.col("display_name").alias("known_name"))
-    wanted = T.folded(F.trim("device"))
-    match = (wanted == T.folded(F.col("device_id"))) | (wanted == T.folded(F.col("known_name")))
-    found = names.join(F.broadcast(known), match, "left")
+    listed = known.select(T.folded(F.col("device_id")).alias("_name"), F.lit(0).alias("_place"), "device_id", "known_name")
+    listed = listed.unionByName(known.where("known_name IS NOT NULL").select(T.folded(F.col("known_name")).alias("_name"), F.lit(1).alias("_place"), "device_id", "known_name"))
+    one = listed.groupBy("_name").agg(F.min(F.struct("_place", "device_id", "known_name")).alias("_d")).select("_name", "_d.device_id", "_d.known_name")
+    found = names.withColumn("_name", T.folded(F.trim("device"))).join(one, "_name", "left")
     return found.select(key, F.coalesce("device_id", "device").alias("device"), F.col("known_name").alias("display_name"), F.when(F.col("device_id").isNotNull(), T.placeholder_filename(F.col("device_id"))).alias("filename"))
 
 

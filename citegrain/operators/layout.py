@@ -7,11 +7,18 @@ text, x0, y0, x1, y1, font, size, spans.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..runtime import ship
+
+#: Language and confidence of each of some texts.
+Detector = Callable[[list[str]], list[tuple[str | None, float]]]
 
 # Bands and shares of the layout rules.
 BAND, REPEAT_SHARE, SHORT_PAGES, SHORT_REPEATS, DRIFT = 0.08, 0.6, 10, 5, 0.02
@@ -87,6 +94,19 @@ def repaired_text(font: Column, text: Column, families: tuple[str, ...] = (), na
     return F.struct(out.alias("text"), fixed.alias("repaired"), F.regexp_count(out, F.lit(REPLACEMENT)).alias("unmappable"))
 
 
+def repaired_documents(documents: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
+    """Snapshots whose spans hold the repaired text; a span with a character that stays unknown is unmappable."""
+
+    def span(s: Column) -> Column:
+        r = repaired_text(s["font"], s["text"], families)
+        return s.withField("text", r["text"]).withField("unmappable", F.coalesce(s["unmappable"], F.lit(False)) | (r["unmappable"] > 0))
+
+    line = lambda x: x.withField("spans", F.transform(x["spans"], span))
+    block = lambda b: b.withField("lines", F.transform(b["lines"], line))
+    page = lambda p: p.withField("blocks", F.transform(p["blocks"], block))
+    return documents.withColumn("pages", F.transform("pages", page))
+
+
 def glyph_audit(lines: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
     """(doc, spans_repaired, spans_degraded, ratio, unreadable) over lines that aren't furniture."""
     spans = lines.where(~F.col("furniture")).select("doc", F.explode("spans").alias("s"))
@@ -186,6 +206,58 @@ def select_english(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("inherited", inherited).join(pages, ["doc", "page"]).withColumn("english", F.coalesce("inherited", "fallback")).drop("own", "inherited", "fallback")
 
 
+def scored_blocks(lines: DataFrame, documents: DataFrame, detector: Detector | None = None) -> DataFrame:
+    """(doc, page, block, words, lang, confidence) of the lines' blocks, furniture apart.
+
+    By the detector, which gets blocks of enough words alone; without one, by
+    the language that the snapshot gives a block.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("line", "text")))
+    texts = lines.where(~F.col("furniture")).groupBy("doc", "page", "block").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    texts = texts.withColumn("words", T.word_count(F.col("text")))
+    if detector is None:
+        pages = documents.select("doc", F.explode("pages").alias("p"))
+        given = pages.select("doc", F.col("p.number").alias("page"), F.posexplode("p.blocks").alias("block", "b")).select("doc", "page", "block", F.col("b.lang").alias("lang"))
+        return texts.join(given, ["doc", "page", "block"], "left").select("doc", "page", "block", "words", "lang", F.when(F.col("lang").isNotNull(), 1.0).otherwise(0.0).alias("confidence"))
+    ship(lines.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, found = b.column(3).to_pylist(), [(None, 0.0)] * b.num_rows
+            long = [i for i, n in enumerate(words) if n >= SCORED_WORDS]
+            for i, verdict in zip(long, detector([b.column(4)[i].as_py() for i in long])):
+                found[i] = verdict
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array([x for x, _ in found], pa.string()), pa.array([float(c) for _, c in found], pa.float64())], names=["doc", "page", "block", "words", "lang", "confidence"])
+
+    return texts.select("doc", F.col("page").cast("int").alias("page"), F.col("block").cast("int").alias("block"), F.col("words").cast("int").alias("words"), "text").mapInArrow(run, "doc string, page int, block int, words int, lang string, confidence double")
+
+
+def audits(documents: DataFrame, lines: DataFrame, glyphs: DataFrame, languages: DataFrame) -> DataFrame:
+    """A row for each document: what a run found out about it.
+
+    page_count, furniture_lines, low_text, body and heading style, glyph
+    counts, symbol families, pages with figures, contents pages, and of
+    documents in several languages the pages left out or taken in part.
+    """
+    gather = lambda df, name: df.groupBy("doc").agg(F.array_sort(F.collect_set(F.col("page").cast("int"))).alias(name))
+    parts = [
+        lines.groupBy("doc").agg(F.count_if("furniture").alias("furniture_lines"), F.count(F.lit(1)).alias("lines")),
+        low_text(lines).withColumnRenamed("low", "low_text"),
+        body_style(lines).select("doc", F.col("font").alias("body_font"), F.col("size").alias("body_size")),
+        heading_style(lines).select("doc", F.col("font").alias("heading_font"), F.col("size").alias("heading_size"), F.col("count").alias("headings")),
+        glyphs.select("doc", "spans_repaired", "spans_degraded", F.round("ratio", 6).alias("unmappable_ratio")),
+        symbol_families(lines).groupBy("doc").agg(F.array_sort(F.collect_set("family")).alias("symbol_families")),
+        gather(has_figures(documents).where("has_figures"), "figure_pages"),
+        gather(contents_pages(lines), "contents_pages"),
+        gather(languages.where("NOT included"), "foreign_pages"),
+        gather(languages.where("partial"), "partial_pages"),
+    ]
+    out = documents.select("doc", "page_count")
+    for part in parts:
+        out = out.join(part, "doc", "left")
+    return out
+
+
 def language_audit(blocks: DataFrame) -> DataFrame:
     """(doc, page, included, partial) from blocks with english."""
     pages = blocks.groupBy("doc", "page").agg(F.max("english").alias("included"), F.min("english").alias("whole"))

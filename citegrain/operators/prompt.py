@@ -21,16 +21,22 @@ def _block(head: str, lines, key: str, order: str, text: str) -> DataFrame:
 
 def passages_block(supplied: DataFrame, passages: DataFrame, sources: DataFrame) -> DataFrame:
     """(qid, block) of the supplied passages in order; supplied(qid, position, passage_id)."""
-    rows = supplied.join(passages.select("passage_id", "source_id", "text"), "passage_id").join(F.broadcast(sources.select("source_id", "display_name", "kind")), "source_id")
+    rows = supplied.join(passages.select("passage_id", "source_id", "text"), "passage_id").join(sources.select("source_id", "display_name", "kind"), "source_id")
     line = F.concat(F.lit("\n[[p:"), "passage_id", F.lit("]] "), "display_name", F.lit(" ("), "kind", F.lit(")\n"), "text")
     return _block(PASSAGES, rows.withColumn("line", line), "qid", "position", "line")
 
 
 def roster_block(questions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(qid, block) of sources that a question doesn't select; sources are the few that a corpus has."""
-    rows = questions.select("qid", "sources").crossJoin(F.broadcast(sources)).where(~F.array_contains("sources", F.col("source_id")))
+    """(qid, block) of sources that a question doesn't select.
+
+    The whole list is put together once; a question takes out the lines of what
+    it selects, so questions and sources never meet pair by pair.
+    """
     line = F.concat(F.lit("- "), F.concat_ws(" | ", "source_id", "display_name", F.coalesce("product", F.lit("")), "kind"))
-    return _block(ROSTER, rows.withColumn("line", line), "qid", "source_id", "line")
+    every = sources.agg(F.array_sort(F.collect_list(F.struct("source_id", line.alias("line")))).alias("every"))
+    left = F.filter("every", lambda x: ~F.array_contains("sources", x["source_id"]))
+    rows = questions.select("qid", "sources").crossJoin(every).select("qid", F.transform(left, lambda x: x["line"]).alias("lines"))
+    return rows.where(F.size("lines") > 0).select("qid", F.concat_ws("\n", F.lit(ROSTER), F.array_join("lines", "\n")).alias("block"))
 
 
 def state_block(state: DataFrame) -> DataFrame:

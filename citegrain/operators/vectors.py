@@ -24,9 +24,15 @@ def hash_encoder(dimension: int = 64) -> Encoder:
         rows = [np.random.default_rng(int.from_bytes(hashlib.sha256(t.encode()).digest()[:8])).normal(size=dimension) for t in texts]
         return np.array(rows, np.float32).reshape(len(texts), dimension)
 
+    encode.name = f"hash-{dimension}"
     return encode
 
 
+def name_of(encoder: Encoder) -> str:
+    """The model that vectors are from: the encoder's own name, else that of its function or class."""
+    return str(getattr(encoder, "name", None) or getattr(encoder, "__qualname__", None) or type(encoder).__qualname__)
+
+
 def encode_texts(df: DataFrame, text: str, encoder: Encoder, dimension: int, prefix: str = "", batch: int = 256) -> DataFrame:
     """Adds vector, at length one (a zero vector stays zero). A null text has a null vector; an encoder's wrong shape is an error."""
     ship(df.sparkSession)

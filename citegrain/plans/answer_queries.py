@@ -208,6 +208,7 @@ QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
 _TURNS = """t AS (SELECT user_id AS conv_id, event_id AS turn, 'q' || event_id AS question,
   CASE WHEN event_id % 5 = 0 THEN 'needs-narrowing' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 3 = 0 THEN 'partially-answered' WHEN event_id % 11 = 0 THEN 'needs-narrowing' ELSE 'answered' END AS outcome FROM events)"""
+_ANSWERED = _TURNS.replace(" AS outcome FROM events", " AS outcome, 'a' || CAST(round(value, 1) AS VARCHAR) AS answer FROM events")
 _TRANS = r"""
 parts AS (SELECT doc_id AS turn_id, [trim(regexp_replace(substr(text, CAST(1 + ceil(length(text) / 7) * i AS BIGINT), CAST(ceil(length(text) / 7) AS BIGINT)), '[\n\r]', ' ', 'g')) for i in range(7)] AS p FROM documents),
 lines AS (SELECT turn_id, [CASE WHEN turn_id % 10 = 0 THEN 'no outcome' ELSE 'answered' END, p[1] || ' [[p:m' || (turn_id % 9) || ']]', '---', '## ' || p[2], '1. ' || p[3] || ' [[p:m' || ((turn_id + 1) % 9) || ']]',
@@ -233,6 +234,12 @@ SELECT conv_id, turn, CAST(k AS BIGINT) AS narrowing_count, CASE WHEN symptom IS
     "conversation_history": f"""WITH {_TURNS}, c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM t WHERE outcome <> 'timeout'),
 l AS (SELECT t.conv_id, t.turn, (SELECT count(*) FROM c WHERE c.conv_id = t.conv_id AND c.turn < t.turn) AS k FROM t)
 SELECT l.conv_id, l.turn, coalesce(string_agg('Q: ' || c.question || chr(10) || 'A: ' || c.question, '|' ORDER BY c.n), '') AS history FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.n BETWEEN l.k - 5 AND l.k GROUP BY l.conv_id, l.turn""",
+    "conversation_replay": f"""WITH {_ANSWERED}, r AS (SELECT *, coalesce(sum(CASE WHEN outcome IN ('answered', 'partially-answered') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM t),
+n AS (SELECT *, coalesce(sum(CASE WHEN outcome = 'needs-narrowing' THEN 1 ELSE 0 END) OVER w, 0) AS k, first_value(CASE WHEN outcome = 'needs-narrowing' THEN question END IGNORE NULLS) OVER w AS symptom FROM r WINDOW w AS (PARTITION BY conv_id, run ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM t WHERE outcome <> 'timeout'),
+l AS (SELECT t.conv_id, t.turn, (SELECT count(*) FROM c WHERE c.conv_id = t.conv_id AND c.turn < t.turn) AS before FROM t),
+h AS (SELECT l.conv_id, l.turn, CAST(least(l.before, 6) AS INT) AS history_size, coalesce(string_agg('Q: ' || c.question || chr(10) || 'A: ' || c.answer, chr(10) ORDER BY c.nth), '') AS history FROM l LEFT JOIN c ON c.conv_id = l.conv_id AND c.nth BETWEEN l.before - 5 AND l.before GROUP BY l.conv_id, l.turn, l.before)
+SELECT CAST(n.conv_id AS VARCHAR) AS conv_id, n.turn, CASE WHEN symptom IS NOT NULL THEN symptom || ' ' || question ELSE question END AS retrieval_query, CAST(k AS INT) AS narrowing_count, history_size, history FROM n JOIN h ON h.conv_id = n.conv_id AND h.turn = n.turn""",
     "recent_exchanges": f"WITH {_TURNS}, r AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS INT) AS nth FROM t WHERE outcome <> 'timeout') SELECT * FROM r WHERE nth <= 6",
     "history_budget": r"WITH w AS (SELECT conv_id, turn, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\S+'))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM conversations) SELECT * FROM w WHERE spent <= 720",
     "turn_supersede": "SELECT event_id AS turn, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < ts + INTERVAL 6 HOURS, false) AS cancelled FROM events",

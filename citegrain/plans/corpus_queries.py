@@ -72,7 +72,7 @@ def term_containment(spark, sf_dir):
     terms = X.table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 2), " ").alias("term"))
     keyed = terms.withColumn("word", F.regexp_extract("term", r"[0-9A-Za-z]+", 0))
     words = _docs(spark, sf_dir).select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[0-9A-Za-z]+"), F.lit(0)))).alias("word"))
-    hits = words.join(F.broadcast(keyed), "word").where(T.contains_term(F.col("term"), F.col("text")))
+    hits = words.join(keyed, "word").where(T.contains_term(F.col("term"), F.col("text")))
     return hits.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("documents"))
 
 
@@ -89,19 +89,39 @@ def low_text(spark, sf_dir):
     return layout.low_text(d).select(F.col("doc").alias("doc_id"), "low")
 
 
+def _printed(spark, sf_dir):
+    """Documents as pages of their source, line by line: most pages have a running head, some a page number, and a line's length decides its font."""
+    d = _docs(spark, sf_dir).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "said"))
+    text = F.when((F.col("line") == 0) & (F.col("page") % 4 > 0), F.concat(F.lit("Guide "), "doc")).when((F.col("line") == 1) & (F.col("page") % 3 == 0), F.col("page").cast("string")).otherwise(F.col("said"))
+    font = F.when(F.length("text") % 7 == 0, "ABCDEF+Wingdings3").when(F.col("line") == 0, "Head").otherwise("Body")
+    d = d.select("doc", "page", F.lit(1).alias("page_count"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("block"), "line", text.alias("text"))
+    d = d.withColumns({"x0": F.lit(50.0), "y0": 10.0 + 12 * F.col("line"), "x1": F.lit(300.0), "y1": 18.0 + 12 * F.col("line"), "font": font, "size": F.when(F.col("line") == 0, 14.0).otherwise(9.0), "furniture": F.lit(False)})
+    return d.withColumn("spans", F.array(F.struct("text", "font", "size")))
+
+
 def unmappable_ratio(spark, sf_dir):
-    """Letters outside ASCII by their share; over two hundredths a text counts as unreadable."""
-    bad = F.regexp_count("text", F.lit(r"[\p{L}&&[^\x00-\x7F]]"))
-    d = _docs(spark, sf_dir).groupBy("source").agg(F.sum(bad).alias("bad"), F.sum(F.length("text")).alias("chars"))
-    ratio = F.col("bad") / F.col("chars")
-    return d.select("source", "bad", "chars", F.round(ratio, 6).alias("ratio"), (ratio > layout.UNMAPPABLE_LIMIT).alias("unreadable"))
+    """The glyph audit of each source: letters of a symbol font are repaired or lost, and over two hundredths lost is unreadable."""
+    a = layout.glyph_audit(_printed(spark, sf_dir))
+    return a.select("doc", "spans_repaired", "spans_degraded", F.round("ratio", 9).alias("ratio"), "unreadable")
 
 
 def furniture_lines(spark, sf_dir):
-    """Lines that repeat within a source, by their key."""
-    lines = _docs(spark, sf_dir).select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "")
-    keys = lines.groupBy("source", T.furniture_key(F.col("line")).alias("key")).agg(F.count_distinct("doc_id").alias("pages"))
-    return keys.where("pages >= 2").select("source", F.sha2("key", 256).alias("key"), "pages")
+    """Running heads and page numbers: keys in the bands that are on most of a source's pages at one height."""
+    return layout.mark_furniture(_printed(spark, sf_dir)).where("furniture").select("doc", "page", "line")
+
+
+def body_style_mode_median(spark, sf_dir):
+    """The style of most of a source's lines, and their median length."""
+    return layout.body_style(_printed(spark, sf_dir)).select("doc", "font", "size", "line_length")
+
+
+def heading_styles(spark, sf_dir):
+    """The largest style above the body's that is used like headings."""
+    return layout.heading_style(_printed(spark, sf_dir)).select("doc", "font", "size", "count")
+
+
+def text_layers(spark, sf_dir):
+    return layout.has_text_layer(_printed(spark, sf_dir)).select("doc", "has_text")
 
 
 def page_ranges(spark, sf_dir):
@@ -116,13 +136,6 @@ def language_inherit(spark, sf_dir):
     return corpus.inherit_nearest(rows, "source", "doc_id", "verdict").select("doc_id", "resolved")
 
 
-def body_style_mode_median(spark, sf_dir):
-    """The most frequent (brand, size), and the median length of its names."""
-    part = X.table(spark, sf_dir, "part")
-    styles = part.groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("seen"), F.percentile(F.length("p_name"), 0.5).alias("length"))
-    return styles.orderBy(F.desc("n"), "seen").limit(1).select("p_brand", "p_size", "n", "length")
-
-
 def anchor_regions(spark, sf_dir):
     """The half-open interval join: each event of a user in the region its last click began; -1 before the first."""
     e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), F.unix_micros(F.col("ts").cast("timestamp")).alias("page"), F.lit(0.0).alias("y0"), F.col("event_id").cast("double").alias("x0"), "event_type", F.col("event_id").cast("int").alias("block"), F.lit(0).alias("line"))
@@ -258,7 +271,7 @@ def ledger_update(spark, sf_dir):
 
 def duplicate_symptoms(spark, sf_dir):
     d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), F.col("text").alias("symptom"), F.array("source", "lang").alias("device_ids"))
-    return entries.duplicate_symptoms(d).select("source_file", F.array_join("others", ",").alias("others"), F.array_join("shared", ",").alias("shared"))
+    return entries.duplicate_symptoms(d).select("source_file", "other", "files", F.array_join("shared", ",").alias("shared"))
 
 
 def scope_findings(spark, sf_dir):
@@ -291,7 +304,7 @@ def chunk_pack(spark, sf_dir):
 
 _FUNCTIONS = (
     passage_ids, citation_header, text_keys, entry_keys, first_sentences, section_numbers, contents_lines, filename_grammar, term_containment, numeric_terms,
-    low_text, unmappable_ratio, furniture_lines, page_ranges, language_inherit, body_style_mode_median, anchor_regions, row_slices, corpus_revision, shard_reuse_plan,
+    low_text, unmappable_ratio, furniture_lines, page_ranges, language_inherit, body_style_mode_median, heading_styles, text_layers, anchor_regions, row_slices, corpus_revision, shard_reuse_plan,
     removed_sources, store_anomalies, contested_ids, gap_undocumented, gap_unconfirmed, gap_not_owned, applied_declarations, inventory_table, pointer_resolution,
     pointer_states, ledger_update, duplicate_symptoms, scope_findings, view_sections_search, latency_percentiles, chunk_pack,
 )
@@ -320,6 +333,13 @@ sources AS (
   SELECT s_name AS source_id, CASE WHEN s_suppkey % 7 = 0 THEN 'authored-triage' ELSE 'vendor-manual' END AS kind, CASE WHEN s_suppkey % 6 = 0 THEN 'unowned' ELSE n_name END AS device,
     CASE WHEN s_suppkey % 2 = 0 THEN 'mk' || n_regionkey END AS revision, CASE WHEN s_suppkey % 3 = 0 THEN 'assumed' ELSE 'confirmed' END AS status
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+_PRINTED = """
+said AS (SELECT source AS doc, doc_id AS page, unnest(string_split(text, chr(10))) AS said, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS line FROM documents),
+texts AS (SELECT doc, page, line, CASE WHEN line = 0 AND page % 4 > 0 THEN 'Guide ' || doc WHEN line = 1 AND page % 3 = 0 THEN CAST(page AS VARCHAR) ELSE said END AS text FROM said),
+lines AS (SELECT *, CAST(10 + 12 * line AS DOUBLE) AS y0, CAST(18 + 12 * line AS DOUBLE) AS y1, CASE WHEN length(text) % 7 = 0 THEN 'ABCDEF+Wingdings3' WHEN line = 0 THEN 'Head' ELSE 'Body' END AS font, CASE WHEN line = 0 THEN 14.0::DOUBLE ELSE 9.0 END AS size FROM texts)"""
+_BODY = rf"""
+styles AS (SELECT doc, font, size, count(*) AS n, min((page, line)) AS seen, median(length({_WS.format('text')})) AS line_length FROM lines WHERE trim(text) <> '' GROUP BY doc, font, size),
+body AS (SELECT * FROM styles QUALIFY row_number() OVER (PARTITION BY doc ORDER BY n DESC, seen) = 1)"""
 _INITCAP = "array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split({}, ' ')], ' ')"
 _POINTERS = f"""
 sec0 AS (
@@ -360,17 +380,25 @@ SELECT name, CASE WHEN ok = '' THEN 'none' ELSE replace(ok, '_', '/') END AS sou
 r AS (SELECT item_id, term, '(?:^|[^0-9A-Za-z])' || array_to_string([regexp_escape(x) for x in string_split(term, ' ')], '\s+') || '(?:$|[^0-9A-Za-z])' AS pattern FROM t)
 SELECT item_id, term, count(*) AS documents FROM r JOIN documents d ON regexp_matches(d.text, pattern) GROUP BY item_id, term""",
     "low_text": r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) < 50 AS low FROM documents",
-    "unmappable_ratio": r"""WITH d AS (SELECT source, sum(len(regexp_extract_all(text, '[^\x00-\x7F]')) - len(regexp_extract_all(text, '[^\x00-\x7F\p{L}]'))) AS bad, sum(length(text)) AS chars FROM documents GROUP BY source)
-SELECT source, CAST(bad AS BIGINT) AS bad, CAST(chars AS BIGINT) AS chars, round(bad / chars, 6) AS ratio, bad / chars > 0.02 AS unreadable FROM d""",
-    "furniture_lines": rf"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-k AS (SELECT source, doc_id, regexp_replace({_fold(_WS.format('line'))}, '[0-9]+', '#', 'g') AS key FROM l WHERE trim(line) <> '')
-SELECT source, sha256(key) AS key, count(DISTINCT doc_id) AS pages FROM k GROUP BY source, k.key HAVING count(DISTINCT doc_id) >= 2""",
+    "unmappable_ratio": rf"""WITH {_PRINTED}, g AS (SELECT doc, length(text) AS chars, CASE WHEN font LIKE '%Wingdings3' THEN len(regexp_extract_all(text, '[ðñôõ]')) ELSE 0 END AS fixed,
+  CASE WHEN font LIKE '%Wingdings3' THEN len(regexp_extract_all(text, '[^\x00-\x7F]')) - len(regexp_extract_all(text, '[^\x00-\x7F\p{{L}}]')) ELSE 0 END AS odd FROM lines)
+SELECT doc, count(*) FILTER (fixed > 0) AS spans_repaired, count(*) FILTER (odd > fixed) AS spans_degraded, round(sum(odd - fixed) / sum(chars), 9) AS ratio, sum(odd - fixed) / sum(chars) > 0.02 AS unreadable FROM g GROUP BY doc""",
+    "furniture_lines": rf"""WITH {_PRINTED}, b AS (SELECT doc, page, line, regexp_replace({_fold(_WS.format('text'))}, '[0-9]+', '#', 'g') AS key, CASE WHEN y1 <= 64 THEN y0 / 800 ELSE (800 - y1) / 800 END AS offs FROM lines WHERE trim(text) <> '' AND (y1 <= 64 OR y0 >= 736)),
+p AS (SELECT doc, count(DISTINCT page) AS pages FROM lines GROUP BY doc),
+k AS (SELECT doc, key, count(DISTINCT page) AS n, max(offs) - min(offs) AS drift FROM b GROUP BY doc, key)
+SELECT b.doc, b.page, b.line FROM b JOIN k ON k.doc = b.doc AND k.key = b.key JOIN p ON p.doc = b.doc WHERE n >= 2 AND (k.key = '#' OR ((n >= 0.6 * pages OR (pages <= 10 AND n >= 5)) AND drift <= 0.02))""",
+    "body_style_mode_median": rf"WITH {_PRINTED}, {_BODY} SELECT doc, font, size, line_length FROM body",
+    "heading_styles": rf"""WITH {_PRINTED}, {_BODY}, n AS (SELECT doc, page, dense_rank() OVER (PARTITION BY doc ORDER BY page) AS i FROM (SELECT DISTINCT doc, page FROM lines)), p AS (SELECT doc, count(*) AS pages FROM n GROUP BY doc),
+t AS (SELECT l.doc, l.font, l.size, count(*) AS count, max(i) - min(i) + 1 AS spread FROM lines l JOIN body b ON b.doc = l.doc JOIN n ON n.doc = l.doc AND n.page = l.page
+  WHERE trim(text) <> '' AND l.size > b.size AND length({_WS.format('text')}) < 0.6 * b.line_length AND NOT ends_with({_WS.format('text')}, '.') GROUP BY l.doc, l.font, l.size),
+r AS (SELECT t.*, row_number() OVER (PARTITION BY t.doc ORDER BY size DESC, font) AS k FROM t JOIN p ON p.doc = t.doc WHERE count >= 4 AND spread >= 0.4 * pages AND count >= pages / 10)
+SELECT doc, font, size, count FROM r WHERE k = 1""",
+    "text_layers": rf"WITH {_PRINTED} SELECT doc, bool_or({_WS.format('text')} <> '') AS has_text FROM lines GROUP BY doc",
     "page_ranges": """WITH p AS (SELECT DISTINCT source, doc_id // 20 AS page FROM documents WHERE lang = 'en'), i AS (SELECT *, page - row_number() OVER (PARTITION BY source ORDER BY page) AS island FROM p)
 SELECT source, min(page) AS lo, max(page) AS hi FROM i GROUP BY source, island""",
     "language_inherit": """WITH v AS (SELECT source, doc_id, CASE WHEN n_chars >= 400 THEN lang = 'en' END AS verdict FROM documents)
 SELECT doc_id, coalesce(last_value(verdict IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
   first_value(verdict IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), true) AS resolved FROM v""",
-    "body_style_mode_median": "SELECT p_brand, p_size, count(*) AS n, median(length(p_name)) AS length FROM part GROUP BY ALL ORDER BY n DESC, min(p_partkey) LIMIT 1",
     "anchor_regions": """SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS region FROM events""",
     "row_slices": f"WITH {_SOURCES} SELECT source_id, CAST(coalesce(sum(chunk_count) OVER (ORDER BY source_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS row_start, chunk_count AS row_count FROM s",
     "corpus_revision": f"""WITH {_SOURCES} SELECT sha256('[' || string_agg('["' || source_id || '","' || fingerprint || '",' || chunk_count || ']', ',' ORDER BY source_id) || ']') AS revision FROM s""",
@@ -390,9 +418,9 @@ SELECT CASE WHEN reason = 'ok' THEN 'ok' WHEN reason <> 'authored-target' AND l.
     "ledger_update": """WITH o AS (SELECT 'k' || (o_orderkey % 500) AS pointer, o_custkey FROM orders),
 a AS (SELECT pointer, CAST(min(o_custkey) AS VARCHAR) AS ids FROM o WHERE o_custkey % 2 = 0 GROUP BY pointer), b AS (SELECT pointer, CAST(min(o_custkey) AS VARCHAR) AS ids FROM o GROUP BY pointer)
 SELECT coalesce(a.pointer, b.pointer) AS pointer, CASE WHEN a.ids = b.ids OR b.ids IS NULL THEN 't0' ELSE 't1' END AS resolved_at, coalesce(b.ids, a.ids) AS passages, CASE WHEN a.ids = b.ids OR b.ids IS NULL THEN 'e' ELSE 'f' END AS entries FROM a FULL JOIN b ON a.pointer = b.pointer""",
-    "duplicate_symptoms": rf"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS f, {_fold(_WS.format('text'))} AS k, unnest([source, lang]) AS device FROM documents), e AS (SELECT DISTINCT * FROM d),
-p AS (SELECT a.f, b.f AS o, a.device FROM e a JOIN e b ON a.k = b.k AND a.device = b.device AND a.f <> b.f)
-SELECT f AS source_file, (SELECT string_agg(o, ',' ORDER BY o) FROM (SELECT DISTINCT o FROM p q WHERE q.f = p.f)) AS others, (SELECT string_agg(device, ',' ORDER BY device) FROM (SELECT DISTINCT device FROM p q WHERE q.f = p.f)) AS shared FROM p GROUP BY f""",
+    "duplicate_symptoms": rf"""WITH e AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS f, {_fold(_WS.format('text'))} AS k, unnest([source, lang]) AS device FROM documents),
+g AS (SELECT k, device, count(*) AS n, min(f) AS a, max(f) AS b FROM e GROUP BY k, device HAVING count(*) > 1)
+SELECT f AS source_file, min(CASE WHEN f = a THEN b ELSE a END) AS other, max(n) AS files, string_agg(device, ',' ORDER BY device) AS shared FROM e JOIN g USING (k, device) GROUP BY f""",
     "scope_findings": f"""WITH {_INVENTORY}, idx AS (SELECT device_id FROM devices WHERE device_id < 'K'),
 e AS (SELECT s_name AS f, s_suppkey AS k, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 m AS (SELECT f, k, CASE WHEN k % 5 = 0 THEN 'gone' ELSE n_name END AS id, CASE WHEN k % 3 = 0 THEN 'mk-1' END AS revision FROM e UNION ALL SELECT f, k, CASE WHEN k % 10 = 0 THEN 'lost' ELSE 'JAPAN' END, NULL FROM e),

@@ -85,7 +85,7 @@ def read_metas(spark: SparkSession, root: str) -> DataFrame | None:
 
 def read_shards(spark: SparkSession, root: str) -> DataFrame:
     """Passages of committed shards: those whose meta row stands."""
-    return spark.read.parquet(f"{root}/{PASSAGE_TABLE}").join(F.broadcast(read_metas(spark, root).select("source_id")), "source_id", "left_semi")
+    return spark.read.parquet(f"{root}/{PASSAGE_TABLE}").join(read_metas(spark, root).select("source_id"), "source_id", "left_semi")
 
 
 def remove_sources(spark: SparkSession, root: str, source_ids: list[str]) -> None:
@@ -117,7 +117,7 @@ def commit_view(spark: SparkSession, root: str, gaps: dict | None = None, built_
     passages = read_shards(spark, root)
     slices = C.source_slices(passages.groupBy("source_id").agg(F.count(F.lit(1)).alias("row_count")))
     nth = F.row_number().over(Window.partitionBy("source_id").orderBy("position")) - 1
-    numbered = passages.withColumn("_nth", nth).join(F.broadcast(slices), "source_id").withColumn("row_id", F.col("row_start") + F.col("_nth")).drop("_nth", "row_start", "row_count")
+    numbered = passages.withColumn("_nth", nth).join(slices, "source_id").withColumn("row_id", F.col("row_start") + F.col("_nth")).drop("_nth", "row_start", "row_count")
     numbered.write.parquet(f"{at}/passages")
     metas.write.parquet(f"{at}/sources")
     stored = spark.read.parquet(f"{at}/passages")

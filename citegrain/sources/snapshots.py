@@ -14,7 +14,7 @@ PAGE = f"struct<number:int,width:double,height:double,images:array<array<double>
 DOCUMENT = f"schema string, page_count int, toc array<array<string>>, pages array<{PAGE}>"
 
 
-def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """doc (file name), page_count, toc (level, title, page), pages. Another format or version is an error where it is read."""
     raw = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.json)?$", 1)

@@ -24,19 +24,23 @@ def _listed(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     relative = F.substring_index(F.col("path"), f"{base}/", -1)
-    return reader.load(root).select(relative.alias("path"), F.substring_index("path", "/", -1).alias("name"), "content")
+    return reader.load(root).select(relative.alias("path"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("file"), "content")
 
 
-def scan_manuals(spark: SparkSession, root: str) -> tuple[bool, DataFrame | None]:
-    """(available, files) of the manual store: name, source_id, reason, fingerprint of those that stand.
+def scan_manuals(spark: SparkSession, root: str, suffix: str = "") -> tuple[bool, DataFrame | None]:
+    """(available, files) of the manual store: name, source_id, reason, file, fingerprint of those that stand.
 
-    A folder that isn't there is not an empty one. Rejected files aren't read.
+    suffix: what is added to a manual's name where the store holds something
+    made of it. A folder that isn't there is not an empty one. Rejected files
+    aren't read.
     """
     if not S.exists(spark, root):
         return False, None
-    files = _listed(spark, root, "*").where(~F.col("path").contains("/"))
+    files = _listed(spark, root, f"*{suffix}").where(~F.col("path").contains("/"))
+    if suffix:
+        files = files.withColumn("name", F.expr(f"left(name, length(name) - {len(suffix)})"))
     named = C.classify_files(files.select(F.lit(MANUALS).alias("store"), "name"))
-    prints = files.join(named.where("reason IS NULL").select("name"), "name", "left_semi").select("name", C.fingerprint(F.col("content")).alias("fingerprint"))
+    prints = files.join(named.where("reason IS NULL").select("name"), "name", "left_semi").select("name", "file", C.fingerprint(F.col("content")).alias("fingerprint"))
     return True, named.join(prints, "name", "left")
 
 

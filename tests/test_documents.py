@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,39 +57,93 @@ def test_chunk_sources(spark):
 # Geometry ------------------------------------------------------------------------
 
 
-def line(text, x, y, font="F", size=9.0, block=0, w=None, h=8.0):
-    return geometry.Line(text, x, y, x + (w or 5 * len(text)), y + h, font, size, block)
+class Line:
+    def __init__(self, text, x, y, font="F", size=9.0, block=0, w=None, h=8.0):
+        self.text, self.x0, self.y0, self.x1, self.y1, self.font, self.size, self.block = text, x, y, x + (w or 5 * len(text)), y + h, font, size, block
 
 
-def page(lines, number=1):
-    return geometry.Page(number, 600, 800, lines)
+line = Line
+
+
+class Page:
+    def __init__(self, lines, number=1):
+        self.lines, self.number = lines, number
+
+
+page = Page
+
+
+def document(*pages):
+    rows = [(i, x.text, (x.x0, x.y0, x.x1, x.y1), x.font, x.size, x.block, False, True, False) for i, p in enumerate(pages) for x in p.lines]
+    return geometry.Document.of(rows, [(p.number, 600.0, False) for p in pages])
+
+
+def parts(lines):
+    d = document(page(lines))
+    return d, geometry.segments(d, np.arange(len(d.text)), 600.0)
 
 
 def test_table_with_panels_and_ragged_rows():
     rows = [("Trigger", "Note", "Trigger", "Note"), ("", "Number", "", "Number"), ("Kick", "36", "Ride", "51"), ("Snare", "38", "Crash 1", "49"), ("Rim", "37", "Crash 2", "57"), ("Tom", "48", "", "")]
-    lines = [line(t, 50 + 130 * c, 100 + 15 * r) for r, row in enumerate(rows) for c, t in enumerate(row) if t]
-    (table,) = geometry.segments(page(lines))
-    assert table.heading == ["Trigger", "Note Number", "Trigger", "Note Number"] and table.panels == [0, 2]
-    assert [table.row_text(r) for r in table.rows] == ["Kick | 36 ‖ Ride | 51", "Snare | 38 ‖ Crash 1 | 49", "Rim | 37 ‖ Crash 2 | 57", "Tom | 48"]
+    _, (table,) = parts([line(t, 50 + 130 * c, 100 + 15 * r) for r, row in enumerate(rows) for c, t in enumerate(row) if t])
+    assert table.heading == ["Trigger", "Note Number", "Trigger", "Note Number"] and table.starts == [0, 2]
+    assert [t for t, _ in table.body] == ["Kick | 36 ‖ Ride | 51", "Snare | 38 ‖ Crash 1 | 49", "Rim | 37 ‖ Crash 2 | 57", "Tom | 48"]
+
+
+def test_tables_among_prose():
+    """Two short cells join a table that has three rows of three; a long cell or a single line ends it."""
+    cells = lambda y, *ts: [line(t, 50 + 130 * c, y) for c, t in enumerate(ts)]
+    lines = [*cells(100, "Before it, in words that go on"), *cells(115, "a", "b"), *cells(130, "a", "b", "1"), *cells(145, "c", "d", "2"), *cells(160, "e", "f", "3"), *cells(175, "g", "h"), *cells(190, "one line"), *cells(205, "x", "y", "4"), *cells(220, "x", "y", "5"), *cells(235, "x", "one two three four five six seven", "6")]
+    d, (before, table, after) = parts(lines)
+    assert table.heading == ["a", "b", ""] and [t for t, _ in table.body] == ["a | b | 1", "c | d | 2", "e | f | 3", "g | h"]
+    assert [d.text[i] for r in before for i in r] == ["Before it, in words that go on"] and sum(map(len, after)) == 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.floats(0, 50), max_size=30), st.floats(0, 9))
+def test_clusters(values, tolerance):
+    """A new cluster begins with the first value further than the tolerance from the first of the one before."""
+    values, want, first = sorted(values), [], None
+    for v in values:
+        if first is None or v > first + tolerance:
+            first = v
+            want.append(want[-1] + 1 if want else 0)
+        else:
+            want.append(want[-1])
+    assert geometry.clusters(np.array(values), tolerance).tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(0, 700), st.sampled_from(["1. a", "2. b", "3", "word", "two words", "x " * 9])), max_size=30))
+def test_every_line_is_in_one_unit(marks):
+    d = document(page([line(t, float(x), float(y), block=y // 100) for x, y, t in marks]))
+    units = geometry.page_units(d, 0, np.arange(len(d.text)))
+    loose = lambda text: sorted(text.replace("|", " ").replace("‖", " ").split())
+    assert loose("\n".join(u.text for u in units)) == loose("\n".join(d.text))
 
 
 def test_columns_of_prose():
     lines = [line(f"left{i} aa bb cc dd ee ff", 50, 100 + 12 * i) for i in range(12)] + [line(f"right{i} aa bb cc dd ee ff gg", 330, 100 + 12 * i) for i in range(12)]
-    (prose,) = geometry.segments(page(lines))
-    assert [r[0].text.split()[0] for r in prose] == [f"left{i}" for i in range(12)] + [f"right{i}" for i in range(12)]
+    d, (prose,) = parts(lines)
+    assert [d.text[r[0]].split()[0] for r in prose] == [f"left{i}" for i in range(12)] + [f"right{i}" for i in range(12)]
 
 
 def test_procedure_over_a_page_break():
-    first = page([line("1. do this", 50, 700), line("2. then that", 50, 715)], 1)
-    second = page([line("3. and last", 50, 100), line("Prose after it.", 30, 130, block=1)], 2)
-    units = geometry.join_procedures(geometry.page_units(first, first.lines) + geometry.page_units(second, second.lines))
+    d = document(page([line("1. do this", 50, 700), line("2. then that", 50, 715)], 1), page([line("3. and last", 50, 100), line("Prose after it.", 30, 130, block=1)], 2))
+    units = geometry.joined(geometry.page_units(d, 0, np.array([0, 1])) + geometry.page_units(d, 1, np.array([2, 3])))
     assert [(u.text, u.atomic, u.page_end) for u in units] == [("1. do this\n2. then that\n3. and last", True, 2), ("Prose after it.", False, 2)]
 
 
+def test_breaks():
+    """Steps count on or begin anew; wrapped rows stay with their step unless they lie left of its text."""
+    assert geometry.breaks([1, None, 2, 4, None, None], [50, 62, 50, 50, 20, 20], [60, 62, 60, 60, 20, 20], [0, 0, 0, 0, 1, 2]) == [0, 3, 4, 5]
+    assert geometry.breaks([], [], [], []) == []
+
+
 def test_outline_anchors_and_regions():
     body = lambda n: [line(f"plain text of page {n} line {i} going on", 50, 200 + 12 * i) for i in range(6)]
-    pages = [page([line("Cover", 50, 50, size=30.0), *body(1)], 1), page([line("1.1 First thing", 50, 100, size=14.0), *body(2), line("1.2 Second thing", 50, 400, size=14.0), line("tail", 50, 420)], 2), page(body(3), 3)]
-    regions = geometry.assemble(pages, [(1, "1 Part", 2), (2, "1.1 First thing", 2), (2, "1.2 Second thing", 2), (2, "1.3 Missing", 3)], 3)
+    d = document(page([line("Cover", 50, 50, size=30.0), *body(1)], 1), page([line("1.1 First thing", 50, 100, size=14.0), *body(2), line("1.2 Second thing", 50, 400, size=14.0), line("tail", 50, 420)], 2), page(body(3), 3))
+    regions = geometry.assemble(d, [(1, "1 Part", 2), (2, "1.1 First thing", 2), (2, "1.2 Second thing", 2), (2, "1.3 Missing", 3)], geometry.Style(9.0, 37.0))
     assert [(r.number, r.title, r.path, r.anchor) for r in regions] == [
         (None, "Cover", (), "Front matter"), ("1", "Part", (), "page-only"), ("1.1", "First thing", ("Part",), "title"), ("1.2", "Second thing", ("Part",), "title"), ("1.3", "Missing", ("Part",), "page-only"),
     ]
@@ -117,7 +172,7 @@ def test_snapshots_and_layout(spark, tmp_path):
     assert {(r.doc, r.font, r["count"]) for r in layout.heading_style(lines).collect()} == {("a", "B", 6)}
     assert {(r.doc, r.low) for r in layout.low_text(lines).collect()} == {("a", True), ("b", True)}
     assert {(r.doc, r.page) for r in layout.has_figures(docs).where("has_figures").collect()} == {("a", 1), ("b", 1)}
-    units = geometry.assemble_documents(docs, lines.where("furniture")).collect()
+    units = geometry.assemble_documents(docs, lines).collect()
     titles = [u.section_title for u in units]
     assert {"Head 1", "Head 6"} <= set(titles) and not any("My Guide" in u.text for u in units)
     snapshots.write_snapshots(docs, str(tmp_path / "out"))
@@ -196,7 +251,7 @@ def test_close_sections(spark):
     passages = spark.createDataFrame([("s", "1", "The Live Mixer", 1, "p1"), ("s", None, "Monitoring", 2, "p2")], "source_id string, section_number string, section_title string, row_id int, passage_id string")
     pointers = spark.createDataFrame([(1, "s", None, "The Live Mixr"), (2, "s", "11", None), (3, "s", None, "Monit")], "pid int, source_id string, number string, title string")
     got = {r.pid: r for r in entries.resolve_pointers(pointers, entries.sections_of(passages)).collect()}
-    assert got[1].reason == "no-such-section" and got[1].candidates == ["the live mixer"] and got[2].candidates == ["1"] and got[3].passage_ids == ["p2"]
+    assert got[1].reason == "no-such-section" and got[1].candidates == ["The Live Mixer"] and got[2].candidates == ["§1"] and got[3].passage_ids == ["p2"]
 
 
 # Framing ------------------------------------------------------------------------
@@ -220,6 +275,18 @@ def test_framing_is_total(stream):
     assert [b["pos"] for b in a.blocks] == list(range(len(a.blocks))) and (a.framing == "unparsed" or a.parsed)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["answered", "x", "---", "", "- r", "!conflict c", "?cause z", "check: q", "* s", "?narrow n", "!caveat v", "  w", "1. s", "## h", "é[[p:a]]", "y\r"]), max_size=14).map("\n".join), st.lists(st.integers(1, 9), max_size=60))
+def test_framing_in_pieces(stream, sizes):
+    """However a stream is cut, bytes of one character apart as well, the answer and its blocks are the same."""
+    data, at, blocks, reader = stream.encode(), 0, [], framing.Reader()
+    for n in [*sizes, len(data)]:
+        blocks += reader.feed(data[at : at + n])
+        at += n
+    blocks += reader.close()
+    assert reader.answer == framing.read_answer(data) and blocks == reader.answer.blocks
+
+
 def test_client_blocks():
     assert framing.client_blocks("## H\n1. a\n2.  b\n!odd c\nd\n\ne") == [("heading", "H"), ("step", "a"), ("step", " b"), ("paragraph", "c\nd"), ("paragraph", "e")]
 
