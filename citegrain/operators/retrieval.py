@@ -9,21 +9,34 @@ Tables: passages(passage_id, source_id, devices, text, vector), questions(qid,
 text, vector, sources, scope, excluded). ``sources``: the selected source ids;
 ``scope``: device ids in scope; ``excluded``: a passage_id that never answers
 this question, or null.
+
+Both arms cut before anything is fused. Dense scores are products of blocks of
+questions with blocks of passages, and a pair of blocks gives each question's
+best rows and one row a source; lexical scores come from the postings of the
+questions' terms. What is then fused, qualified and handed on are some hundred
+rows a question, whatever the number of passages.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..runtime import ship
 
 
 #: Terms of up to so many questions are broadcast; of more, they are shuffled.
 BROADCAST_QUESTIONS = 20_000
+#: Passages and questions of a block.
+PASSAGE_BLOCK, QUESTION_BLOCK = 8192, 512
 
 
 @dataclass(frozen=True)
@@ -75,6 +88,10 @@ def read_lexical_index(spark, path: str) -> LexicalIndex:
     return LexicalIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "terms", "stats")])
 
 
+def _few(questions: DataFrame) -> bool:
+    return questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """(qid, term, times): a repeated term counts as often."""
     return questions.select("qid", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -98,13 +115,6 @@ def device_scope(sources: DataFrame, selected: DataFrame, undocumented: DataFram
     return mine.crossJoin(F.broadcast(every)).crossJoin(F.broadcast(gaps)).select("qid", F.array_sort(F.array_union(F.when(F.size("mine") > 0, F.col("mine")).otherwise(F.col("every")), "gaps")).alias("scope"))
 
 
-def candidates(passages: DataFrame, questions: DataFrame) -> DataFrame:
-    """(qid, passage_id, source_id, and vectors): passages of a question's sources that pass the device predicate."""
-    chosen = questions.select("qid", F.explode("sources").alias("source_id"), "scope", "excluded", F.col("vector").alias("query_vector"))
-    pairs = passages.select("passage_id", "source_id", "devices", "vector").join(chosen, "source_id")
-    return pairs.where(in_device_scope(F.col("devices"), F.col("scope")) & ~F.col("passage_id").eqNullSafe(F.col("excluded"))).select("qid", "passage_id", "source_id", "vector", "query_vector")
-
-
 def dot(a: Column, b: Column, dimension: int | None = None, digits: int = 9) -> Column:
     """Inner product in double; with a known dimension as one generated expression, else a fold."""
     if dimension:
@@ -136,7 +146,7 @@ def lexical_scores(index: LexicalIndex, questions: DataFrame, config: RetrievalC
     asked = question_terms(questions)
     # Semi-joins on the grouping key go below the index's own sums, so other terms are never counted.
     wanted = asked.select("term").distinct()
-    if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS:
+    if _few(questions):
         wanted = F.broadcast(wanted)
     postings, terms = (t.join(wanted, "term", "left_semi") for t in (index.postings, index.terms))
     known = asked.join(terms, "term").crossJoin(F.broadcast(index.stats))
@@ -165,31 +175,203 @@ def fuse(rankings: list[DataFrame], config: RetrievalConfig = RetrievalConfig())
     return rrf(rankings, config).withColumn("fused_rank", F.row_number().over(by))
 
 
-def signals(passages: DataFrame, questions: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig(), dimension: int | None = None) -> DataFrame:
-    """(qid, passage_id, source_id, cosine, bm25, rare) of every candidate; cosine is null where a side has no vector."""
-    dense = candidates(passages, questions).select("qid", "passage_id", "source_id", dot(F.col("vector"), F.col("query_vector"), dimension, config.digits).alias("cosine"))
-    lexical = lexical_scores(index, questions, config)
-    return dense.join(lexical, ["qid", "passage_id"], "left").select("qid", "passage_id", "source_id", "cosine", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("rare", F.lit(False)).alias("rare"))
+def _by_dimension(vectors: pa.Array) -> dict[int, np.ndarray]:
+    """Rows by the length of their vector; rows without one are in none."""
+    size = np.array([-1 if n is None else n for n in pc.list_value_length(vectors).to_pylist()])
+    return {int(d): np.flatnonzero(size == d) for d in np.unique(size) if d >= 0}
+
+
+def _matrix(vectors: pa.Array, rows: np.ndarray, dimension: int) -> np.ndarray:
+    return np.asarray(vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), "<f8").reshape(len(rows), dimension)
+
+
+_PASSAGES = "dimension int, passage_ids array<string>, source_ids array<string>, devices array<array<string>>, vectors binary"
+
+
+def _blocks(size: int, columns: tuple[str, ...]):
+    """Packs a partition's rows (columns..., vector) into blocks of at most so many rows of one dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def close(d: int) -> pa.RecordBatch:
+            parts = held.pop(d)
+            lists = [pa.concat_arrays([p[i] for p in parts]) for i in range(len(columns))]
+            listed = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            packed = np.concatenate([p[-1] for p in parts]).astype("<f8").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *listed, pa.array([packed], pa.binary())], names=["dimension", *columns, "vectors"])
+
+        for batch in batches:
+            vectors = batch.column(len(columns))
+            for d, rows in _by_dimension(vectors).items():
+                for at in range(0, len(rows), size):
+                    some = rows[at : at + size]
+                    held.setdefault(d, []).append((*(batch.column(i).take(pa.array(some)) for i in range(len(columns))), _matrix(vectors, some, d)))
+                    if sum(len(p[-1]) for p in held[d]) >= size:
+                        yield close(d)
+        for d in list(held):
+            yield close(d)
+
+    return run
+
+
+def _score(depth: int, threshold: float, digits: int, schema: pa.Schema):
+    """Rows of a block of passages with a block of questions: each question's best, and of each source its best and how many are near."""
+
+    def allowed(wanted: list, present: list) -> np.ndarray:
+        return np.array([[p in w for p in present] for w in wanted], bool).reshape(len(wanted), len(present))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = lambda name: batch.column(batch.schema.get_field_index(name))[row]
+                d = get("dimension").as_py()
+                if d != get("query_dimension").as_py():
+                    continue
+                ids, qids = np.array(get("passage_ids").as_py(), object), get("qids").values
+                p = np.frombuffer(get("vectors").as_buffer(), "<f8").reshape(len(ids), d)
+                q = np.frombuffer(get("query_vectors").as_buffer(), "<f8").reshape(len(qids), d)
+                order = np.argsort(ids)  # equal scores go by passage_id
+                ids, p = ids[order], p[order]
+                names, source = np.unique(np.array(get("source_ids").as_py(), object)[order], return_inverse=True)
+                devices = [tuple(x or ()) for x in get("devices").as_py()]
+                kinds = {k: n for n, k in enumerate(dict.fromkeys(devices))}
+                kind = np.array([kinds[x] for x in devices])[order]
+                scopes = [set(x or ()) for x in get("scopes").as_py()]
+                in_scope = np.array([[not k or not sc.isdisjoint(k) for k in kinds] for sc in scopes], bool).reshape(len(scopes), len(kinds))
+                ok = allowed([set(x or ()) for x in get("sources").as_py()], list(names))[:, source] & in_scope[:, kind]
+                for n, own in enumerate(get("excluded").as_py()):
+                    if own is not None:
+                        ok[n] &= ids != own
+                scores = np.where(ok, np.round(q @ p.T, digits), -np.inf)
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :depth]
+                at, nth = np.nonzero(np.isfinite(np.take_along_axis(scores, best, 1)))
+                rows = [(at, best[at, nth], np.zeros(len(at), np.int64), np.ones(len(at), bool))]
+                for n in range(len(names)):
+                    mine = np.flatnonzero(source == n)
+                    top = mine[scores[:, mine].argmax(axis=1)]
+                    who = np.flatnonzero(np.isfinite(scores[np.arange(len(q)), top]))
+                    rows.append((who, top[who], (scores[who][:, mine] >= threshold).sum(axis=1), np.zeros(len(who), bool)))
+                at, which, near, in_top = (np.concatenate(c) for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(at)), pa.array(ids[which].tolist(), pa.string()), pa.array(names[source[which]].tolist(), pa.string()), pa.array(scores[at, which]), pa.array(near.astype(np.int64)), pa.array(in_top)], schema=schema)
+
+    return run
+
+
+def dense_rows(passages: DataFrame, questions: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(qid, passage_id, source_id, cosine, near, in_top) out of each pair of blocks.
+
+    in_top: among the block's best for the question, to the depth. Else a
+    source's best row of the block, and near: how many of the source's rows
+    reach the threshold. Vectors of other dimensions aren't compared.
+    """
+    spark = passages.sparkSession
+    ship(spark)
+    kind = dict(questions.dtypes)["qid"]
+    held = passages.where("vector IS NOT NULL").select("passage_id", "source_id", "devices", "vector").mapInArrow(_blocks(PASSAGE_BLOCK, ("passage_ids", "source_ids", "devices")), _PASSAGES)
+    shape = f"dimension int, qids array<{kind}>, sources array<array<string>>, scopes array<array<string>>, excluded array<string>, query_vectors binary"
+    asked = questions.where("vector IS NOT NULL").select("qid", "sources", F.col("scope").alias("scopes"), "excluded", "vector").coalesce(8)
+    asked = asked.mapInArrow(_blocks(QUESTION_BLOCK, ("qids", "sources", "scopes", "excluded")), shape.replace("query_vectors", "vectors")).withColumnRenamed("vectors", "query_vectors")
+    # The stated questions meet every passage, block with block; few enough blocks of questions are sent round, more are not.
+    asked = asked.withColumnRenamed("dimension", "query_dimension")
+    pairs = held.crossJoin(F.broadcast(asked) if _few(questions) else asked)
+    out = f"qid {kind}, passage_id string, source_id string, cosine double, near long, in_top boolean"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(spark.createDataFrame([], out).schema)
+    return pairs.mapInArrow(_score(config.depth, config.dense_threshold, config.digits, schema), out)
+
+
+@dataclass
+class Arms:
+    """dense(qid, passage_id, source_id, cosine, rank), lexical(qid, passage_id, source_id, bm25, rare, rank): each arm's best; near(qid, source_id, passage_id, cosine, near): of each source its nearest passage, and how many are near; first: of each source its first by BM25; hits: every lexical score."""
+
+    dense: DataFrame
+    lexical: DataFrame
+    near: DataFrame
+    first: DataFrame
+    hits: DataFrame
+
+
+def in_mask(rows: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:
+    """Rows (qid, passage_id) that may answer their question, with source_id."""
+    known = rows.join(passages.select("passage_id", "source_id", "devices"), "passage_id").join(questions.select("qid", "sources", "scope", "excluded"), "qid")
+    ok = F.array_contains("sources", F.col("source_id")) & in_device_scope(F.col("devices"), F.col("scope")) & ~F.col("passage_id").eqNullSafe(F.col("excluded"))
+    return known.where(ok).drop("devices", "sources", "scope", "excluded")
+
+
+def _lexical_arm(hits: DataFrame, config: RetrievalConfig) -> tuple[DataFrame, DataFrame]:
+    ahead = F.struct((-F.col("bm25")).alias("s"), F.col("passage_id").alias("p"))
+    first = hits.groupBy("qid", "source_id").agg(F.min_by(F.struct("passage_id", "bm25", "rare"), ahead).alias("b")).select("qid", "source_id", "b.passage_id", "b.bm25", "b.rare")
+    return ranked(hits, "bm25", "rank", config.depth), first
+
 
+def _nearest(rows: DataFrame) -> DataFrame:
+    better = F.struct((-F.col("cosine")).alias("c"), F.col("passage_id").alias("p"))
+    return rows.groupBy("qid", "source_id").agg(F.min_by(F.struct("passage_id", "cosine"), better).alias("b"), F.sum("near").alias("near")).select("qid", "source_id", "b.passage_id", "b.cosine", "near")
 
-def pool(scored: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Adds dense_rank, lexical_rank, fused and fused_rank; null beyond the depth, and where there is no cosine or lexical score."""
-    q = Window.partitionBy("qid")
-    dense = F.row_number().over(q.orderBy(F.desc_nulls_last("cosine"), "passage_id"))
-    lexical = F.row_number().over(q.orderBy(F.desc("bm25"), "passage_id"))
-    placed = scored.withColumns({"d": dense, "l": lexical})
-    placed = placed.withColumns({"dense_rank": F.when((F.col("d") <= config.depth) & F.col("cosine").isNotNull(), F.col("d")), "lexical_rank": F.when((F.col("l") <= config.depth) & (F.col("bm25") > 0), F.col("l"))}).drop("d", "l")
-    part = lambda r: F.coalesce(1.0 / (config.rrf_k + F.col(r)), F.lit(0.0))
-    fused = F.round(part("dense_rank") + part("lexical_rank"), config.digits)
-    placed = placed.withColumn("fused", F.when(F.col("dense_rank").isNotNull() | F.col("lexical_rank").isNotNull(), fused))
-    by = q.orderBy(F.col("fused").desc_nulls_last(), "passage_id")
-    return placed.withColumn("fused_rank", F.when(F.col("fused").isNotNull(), F.row_number().over(by)))
+
+def arms(passages: DataFrame, questions: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig()) -> Arms:
+    rows = dense_rows(passages, questions, config)
+    dense = ranked(rows.where("in_top").select("qid", "passage_id", "source_id", "cosine"), "cosine", "rank", config.depth)
+    hits = in_mask(lexical_scores(index, questions, config).where("bm25 > 0"), passages, questions)
+    lexical, first = _lexical_arm(hits, config)
+    return Arms(dense, lexical, _nearest(rows.where("NOT in_top")), first, hits)
+
+
+def arms_of(scored: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Arms:
+    """The same from rows that are scored already and may all answer: (qid, passage_id, source_id, cosine, bm25, rare)."""
+    known = scored.where("cosine IS NOT NULL").select("qid", "passage_id", "source_id", "cosine", (F.col("cosine") >= config.dense_threshold).cast("long").alias("near"))
+    hits = scored.where("bm25 > 0").select("qid", "passage_id", "source_id", "bm25", "rare")
+    lexical, first = _lexical_arm(hits, config)
+    return Arms(ranked(known.drop("near"), "cosine", "rank", config.depth), lexical, _nearest(known), first, hits)
+
+
+def pool(a: Arms, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(qid, passage_id, source_id, dense_rank, lexical_rank, fused, fused_rank): both rankings fused, a rank null beyond its depth."""
+    fused = fuse([a.dense, a.lexical], config)
+    dense = a.dense.select("qid", "passage_id", F.col("source_id").alias("ds"), F.col("rank").alias("dense_rank"))
+    lexical = a.lexical.select("qid", "passage_id", F.col("source_id").alias("ls"), F.col("rank").alias("lexical_rank"))
+    key = ["qid", "passage_id"]
+    return fused.join(dense, key, "left").join(lexical, key, "left").withColumn("source_id", F.coalesce("ds", "ls")).drop("ds", "ls")
+
+
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def scorer(passages: DataFrame, questions: DataFrame, a: Arms, config: RetrievalConfig = RetrievalConfig(), dimension: int | None = None) -> Scorer:
+    """Adds cosine and bm25 to rows (qid, passage_id): what only one arm has scored, the other scores now; some hundred rows a question."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        rows = rows.join(passages.select("passage_id", "vector"), "passage_id", "left").join(questions.select("qid", F.col("vector").alias("_q")), "qid", "left")
+        rows = rows.withColumn("cosine", dot(F.col("vector"), F.col("_q"), dimension, config.digits)).drop("vector", "_q")
+        return rows.join(a.hits.select("qid", "passage_id", "bm25"), ["qid", "passage_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
+
+    return score
+
+
+def finalists(a: Arms, score: Scorer, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
+    """(qid, passage_id, source_id, fused, fused_rank, cosine, bm25, qualifying): the fused pool, and of each source the row that may qualify it.
+
+    A row qualifies if it is near enough to the question, or first by BM25 in
+    its own source and holding a rare term.
+    """
+    key = ["qid", "passage_id"]
+    pooled = pool(a, config).select(*key, "source_id", "fused", "fused_rank")
+    others = a.near.where(F.col("near") > 0).select(*key, "source_id").union(a.first.where("rare").select(*key, "source_id")).distinct()
+    rows = score(pooled.unionByName(others.join(pooled.select(*key), key, "left_anti"), allowMissingColumns=True))
+    rows = rows.join(a.first.where("rare").select(*key, F.lit(True).alias("_lead")), key, "left")
+    return rows.withColumn("qualifying", F.coalesce(F.col("cosine") >= config.dense_threshold, F.lit(False)) | F.coalesce("_lead", F.lit(False))).drop("_lead")
 
 
-def qualify(pooled: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    """Adds qualifying: near enough to the question, or first by BM25 in its own source and holding a rare term."""
-    first = F.row_number().over(Window.partitionBy("qid", "source_id").orderBy(F.desc("bm25"), "passage_id")) == 1
-    return pooled.withColumn("qualifying", F.coalesce(F.col("cosine") >= config.dense_threshold, F.lit(False)) | (first & (F.col("bm25") > 0) & F.col("rare")))
+def qualifying_sources(passages: DataFrame, questions: DataFrame, a: Arms, config: RetrievalConfig = RetrievalConfig(), dimension: int | None = None) -> DataFrame:
+    """(qid, source_id, n_qualifying, best_cosine) of each source that qualifies for a question."""
+    near = a.near.where("near > 0").select("qid", "source_id", "near", F.col("cosine").alias("best"))
+    lead = a.first.where("rare").join(passages.select("passage_id", "vector"), "passage_id").join(questions.select("qid", F.col("vector").alias("_q")), "qid", "left")
+    lead = lead.select("qid", "source_id", dot(F.col("vector"), F.col("_q"), dimension, config.digits).alias("own"), F.lit(True).alias("lead"))
+    both = near.join(lead, ["qid", "source_id"], "full_outer")
+    more = F.col("lead").isNotNull() & ~F.coalesce(F.col("own") >= config.dense_threshold, F.lit(False))
+    return both.select("qid", "source_id", (F.coalesce("near", F.lit(0)) + more.cast("long")).alias("n_qualifying"), F.coalesce("best", "own").alias("best_cosine"))
 
 
 def supply(qualified: DataFrame, config: RetrievalConfig = RetrievalConfig(), narrowing: bool = False) -> DataFrame:
@@ -218,7 +400,9 @@ def supply(qualified: DataFrame, config: RetrievalConfig = RetrievalConfig(), na
 
 
 def retrieve(passages: DataFrame, questions: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig(), narrowing: bool = False, dimension: int | None = None) -> DataFrame:
-    return supply(qualify(pool(signals(passages, questions, index, config, dimension), config), config), config, narrowing)
+    """What ``supply`` hands on for each question. dimension, if all vectors have it, only makes scoring quicker."""
+    a = arms(passages, questions, index, config)
+    return supply(finalists(a, scorer(passages, questions, a, config, dimension), config), config, narrowing)
 
 
 def lexical_search(index: LexicalIndex, questions: DataFrame, limit: int, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:

@@ -14,8 +14,13 @@ def pooled(spark, rows):
     return spark.createDataFrame(rows, "qid int, passage_id string, source_id string, cosine double, bm25 double, rare boolean")
 
 
+def qualified(spark, rows, config=R.RetrievalConfig()):
+    scored = pooled(spark, rows)
+    return R.finalists(R.arms_of(scored, config), lambda df: df.join(scored.select("qid", "passage_id", "cosine", "bm25"), ["qid", "passage_id"]), config)
+
+
 def supplied(spark, rows, config=R.RetrievalConfig(), **more):
-    found = R.supply(R.qualify(R.pool(pooled(spark, rows), config), config), config, **more)
+    found = R.supply(qualified(spark, rows, config), config, **more)
     return [r.passage_id for r in found.orderBy("qid", "position").collect()]
 
 
@@ -64,7 +69,7 @@ def test_nothing_qualifies(spark):
 
 def test_threshold_is_inclusive_and_per_source(spark):
     rows = [(1, "a", "s", 0.30, 0.0, False), (1, "b", "t", 0.0, 1.0, True), (1, "c", "t", 0.0, 2.0, False), (1, "d", "u", 0.0, 1.0, True)]
-    q = {r.passage_id: r.qualifying for r in R.qualify(R.pool(pooled(spark, rows))).collect()}
+    q = {r.passage_id: r.qualifying for r in qualified(spark, rows).collect()}
     assert q == {"a": True, "b": False, "c": False, "d": True}
 
 
@@ -117,3 +122,32 @@ def test_plan_prunes_and_broadcasts(spark, sf):
 
     plan = R.retrieve(X.passages(spark, sf), X.questions(spark, sf), X.index(spark, sf), dimension=X.DIMENSION)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "PythonUDF" not in plan
+
+
+@pytest.mark.parametrize("blocks", [(8192, 512), (7, 3)])
+def test_dense_rows_against_plain_python(spark, monkeypatch, blocks):
+    """Masks, ties, missing vectors and other dimensions, in one pair of blocks and in many."""
+    monkeypatch.setattr(R, "PASSAGE_BLOCK", blocks[0])
+    monkeypatch.setattr(R, "QUESTION_BLOCK", blocks[1])
+    rng = random.Random(3)
+    vector = lambda: [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(4)]
+    passages = [(f"p{i:03}", f"s{i % 3}", rng.choice([None, [], ["a"], ["b"], ["a", "c"]]), None if i % 11 == 0 else vector()) for i in range(60)] + [("q", "s0", None, [1.0, 2.0])]
+    questions = [(i, rng.choice([["s0"], ["s0", "s2"], []]), rng.choice([["a"], ["b", "c"], None]), rng.choice([None, "p001", "p003"]), None if i == 4 else vector()) for i in range(8)]
+    config = R.RetrievalConfig(depth=5)
+    p = spark.createDataFrame(passages, "passage_id string, source_id string, devices array<string>, vector array<double>").repartition(3)
+    q = spark.createDataFrame(questions, "qid int, sources array<string>, scope array<string>, excluded string, vector array<double>")
+    rows = R.dense_rows(p, q, config)
+    got = {(r.qid, r.rank): (r.passage_id, r.cosine) for r in R.ranked(rows.where("in_top"), "cosine", "rank", 5).collect()}
+    near = {(r.qid, r.source_id): (r.passage_id, r.near) for r in R._nearest(rows.where("NOT in_top")).collect()}
+    want, want_near = {}, {}
+    for qid, sources, scope, excluded, v in questions:
+        if v is None:
+            continue
+        ok = [(-round(sum(a * b for a, b in zip(v, x)), 9), pid, s) for pid, s, d, x in passages if x is not None and len(x) == 4 and s in sources and (not d or set(d) & set(scope or ())) and pid != excluded]
+        for k, (c, pid, _) in enumerate(sorted(ok)[:5], 1):
+            want[qid, k] = (pid, -c)
+        for s in {x[2] for x in ok}:
+            mine = sorted(x for x in ok if x[2] == s)
+            want_near[qid, s] = (mine[0][1], sum(-x[0] >= 0.3 for x in mine))
+    assert got == pytest.approx(want) if not want else {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert near == want_near
