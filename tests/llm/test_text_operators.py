@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from citegrain.llm import exact_dedup, language_id, mixing, near_dedup, packing, token_codes, tokens
+from citegrain.llm import components as cc
+from citegrain.llm import bounded, exact_dedup, language_id, mixing, near_dedup, packing, token_codes, tokens
 from citegrain.runtime import Workspace
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +107,54 @@ def test_language_learns_every_language(spark):
     assert told(few) == told(language_id.LanguageConfig())
 
 
+def plain_sizes(text, contents):
+    """Compressed size of a text under each dictionary, in plain Python: windows of 4096 bytes of its lower-cased words."""
+    import zstandard as z
+
+    raw = re.sub(r"[\W\d_]+", " ", text.lower()).encode("utf-8", "replace")
+    out = []
+    for content in contents:
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        how = z.ZstdCompressionParameters(strategy=z.STRATEGY_LAZY, min_match=4, search_log=3, window_log=18, hash_log=17, chain_log=17, write_content_size=0, write_checksum=0, write_dict_id=0)
+        out.append(sum(len(z.ZstdCompressor(dict_data=d, compression_params=how).compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096)))
+    return out
+
+
+def test_language_against_plain_python(spark, sf):
+    """Every prediction of the query is that of the smallest size, over the whole text, and each dictionary is what its rows say."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    learned = language_id.learn_dictionaries(docs)
+    place = {r.doc_id: r.p for r in docs.selectExpr("doc_id", f"pmod(xxhash64(doc_id), {1 << 40}) AS p").collect()}
+    all_rows, most = docs.collect(), (24 << 10) // 10
+    names = [lang for lang, _ in learned]
+    assert set(names) == {r.lang for r in all_rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    for lang, content in learned:
+        rows_of = sorted((place[r.doc_id], r.text) for r in all_rows if r.lang == lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)[:96]
+        parts, room = [], 24 << 10
+        for _, t in rows_of:
+            t = t[max(0, (len(t) - 2 * most) // 2) :][: 2 * most]
+            w = re.sub(r"[\W\d_]+", " ", t.lower()).encode()
+            parts.append(w[max(0, (len(w) - most) // 2) :][: min(most, room)])
+            room -= len(parts[-1])
+            if room <= 0:
+                break
+        assert content == b"".join(reversed(parts))
+    found = {r.doc_id: r for r in language_id.op1_language_id(spark, sf).collect()}
+    for r in all_rows:
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert found[r.doc_id].lang_pred == "und"
+            continue
+        sizes = plain_sizes(r.text, [c for _, c in learned])
+        assert found[r.doc_id].lang_pred == names[sizes.index(min(sizes))]
+
+
+def test_language_without_labels(spark, odd, empty, sf):
+    nameless = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.learn_dictionaries(nameless) == []
+    assert language_id.stage_language(spark, nameless, sf).count() == len(ODD)
+    assert rows(language_id.stage_language(spark, empty, sf)) == []
+
+
 def test_language_stage_keeps_columns(spark, odd, sf):
     out = language_id.stage_language(spark, odd, sf)
     assert out.columns == odd.columns and unharmed(out)
@@ -144,8 +193,42 @@ def test_exact_dedup_index_persists(spark):
     assert out == {1: (5, False), 2: (2, True)}
     exact_dedup.dedup_batch(Workspace(spark, "t"), second, index, "two")  # again: nothing is added twice
     assert index.read().count() == 3
-    plan = first.select(exact_dedup.text_sha256(first["text"]).alias("digest")).join(index.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    again = exact_dedup.DigestIndex(spark, ws.path("i"))  # opened by its path alone
+    assert again.manifest()["buckets"] == 4 and again.read().count() == 3
+
+
+def test_exact_dedup_index_is_read_as_it_lies(spark):
+    """No shuffle and no sort on the index's side of the anti-join."""
+    ws = Workspace(spark, "t")
+    index = exact_dedup.DigestIndex(spark, ws.path("i"), 4)
+    ids = lambda a, b: spark.range(a, b).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.col("id").alias("keep_id"))
+    index.append(ids(0, 900), "one")
+    index.append(ids(800, 1000), "two")
+    assert len(index.runs()) == 2 and index.read().count() == 1000
+    plan = index.unknown(ids(990, 1010))._jdf.queryExecution().executedPlan().toString()
+    for scan in plan.split("FileScan")[1:]:
+        assert "Bucketed: true" in scan
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+    assert index.unknown(ids(990, 1010)).count() == 10
+
+
+def test_exact_dedup_index_merges_runs(spark):
+    """Many batches leave few runs, and each digest once, with the id of its first batch."""
+    ws = Workspace(spark, "t")
+    index = exact_dedup.DigestIndex(spark, ws.path("i"), 2)
+    for b in range(6):
+        index.append(spark.range(10 * b, 10 * b + 15).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), (F.col("id") + 1000 * b).alias("keep_id")), f"b{b}")
+    assert len(index.manifest()["runs"]) <= 3 and len(index.manifest()["batches"]) == 6
+    held = {r.digest: r.keep_id for r in index.read().collect()}
+    assert len(held) == index.read().count() == 65
+    assert held[hashlib.sha256(b"12").hexdigest()] == 12 and held[hashlib.sha256(b"16").hexdigest()] == 1016
+
+
+@pytest.mark.parametrize("stage", [exact_dedup.stage_exact_dedup, near_dedup.stage_near_dedup])
+def test_stages_with_more_to_drop_than_is_broadcast(spark, odd, sf, monkeypatch, stage):
+    few = sorted(str(r.asDict()) for r in stage(spark, odd, sf).collect())
+    monkeypatch.setattr(bounded, "BROADCAST_ROWS", 0)
+    assert sorted(str(r.asDict()) for r in stage(spark, odd, sf).collect()) == few
 
 
 def test_exact_stage(spark, odd, sf):
@@ -225,9 +308,38 @@ def test_near_dedup_chains_and_families(spark):
 
 
 def test_near_dedup_blocks(spark, monkeypatch):
-    """The same over many blocks a cluster."""
+    """The same over many blocks a cluster, by shingles and by rows."""
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 600)
     test_near_dedup_chains_and_families(spark)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1 << 18)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    test_near_dedup_chains_and_families(spark)
+
+
+@pytest.mark.parametrize("few", [300_000, 0])
+def test_connected_components(spark, monkeypatch, few):
+    """In one task and in rounds: chains, stars, rings, self loops and repeated edges."""
+    monkeypatch.setattr(cc, "FEW_EDGES", few)
+    rng = np.random.default_rng(2)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200), (301, 300), (300, 301)] + [(400 + i, 400 + (i + 1) % 9) for i in range(9)]
+    edges += [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 200, (120, 2))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r.id: r.component for r in cc.connected_components(Workspace(spark, "t"), df, "c").collect()}
+    want = {x: x for e in edges for x in e}
+    while True:
+        new = dict(want)
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == want:
+            break
+        want = new
+    assert got == want
+    assert cc.connected_components(Workspace(spark, "t"), df.where("false"), "c").count() == 0
+
+
+def test_near_dedup_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(cc, "FEW_EDGES", 0)
+    test_near_dedup_chains_and_families(spark)
 
 
 def test_min_max_signature_is_unbiased():
@@ -303,22 +415,51 @@ def test_codes_round_trip_and_random_access():
     for ids in (np.zeros(0, "<u4"), np.array([0]), rng.integers(0, 256, 700), rng.integers(0, 60_000, 5000), rng.integers(0, 2**32, 3000, dtype=np.uint64)):
         ids = ids.astype("<u4")
         ends = np.array([len(ids) // 3, len(ids)])
-        s = token_codes.Segment(token_codes.pack(ids, [7, None], ends))
+        image = token_codes.pack(ids, [7, None], ends, 11)
+        s = token_codes.Segment.of(image)
+        assert s.length == len(image) and s.before == 11
         assert (s.ids() == ids).all() and s.doc_ids == [7, None] and s.ends.tolist() == ends.tolist()
         for i in rng.integers(0, max(1, len(ids)), 50 if len(ids) else 0):
-            assert s[int(i)] == ids[i]
+            read = []
+            one = token_codes.Segment(lambda at, n: read.append(n) or image[at : at + n])
+            read.clear()
+            assert one[int(i)] == ids[i]
+            assert sum(read) <= 69 * 4  # a chunk, a block and a rank a level, however long the image
         with pytest.raises(IndexError):
             s[len(ids)]
 
 
 def test_token_codes(spark, odd, empty, tokenizer):
-    got = rows(token_codes.read_documents(token_codes.write_segments(odd, Workspace(spark, "t").path("s"), tokens.default_tokenizer(), 3, 1000)))
-    start = 0
+    store = token_codes.TokenStore.write(odd, Workspace(spark, "t").path("s"), tokens.default_tokenizer(), 3, 1000)
+    got, start, every = rows(store.documents()), 0, []
     for (d, t, *_), r in zip(sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0)), sorted(got, key=lambda r: (r["start"]))):
         ids = np.append(whole(tokenizer, t), np.uint32(1)).astype("<u4")
         assert r == {"doc_id": d, "start": start, "n_tokens": len(ids), "ids_crc32": zlib.crc32(ids.tobytes())}
         start += len(ids)
-    assert rows(token_codes.read_documents(token_codes.write_segments(empty, Workspace(spark, "t").path("s"), tokens.default_tokenizer()))) == []
+        every += ids.tolist()
+    assert len(got) == len(ODD)
+    # Any id by its position, from another handle on the same folder.
+    again = token_codes.TokenStore(spark, store.path)
+    assert again.directory().count() > 3 and sum(r.n_ids for r in again.directory().collect()) == len(every)
+    asked = [0, len(every) - 1, 5, 5, *np.random.default_rng(0).integers(0, len(every), 20).tolist()]
+    assert again.ids_at(asked) == [every[i] for i in asked]
+    with pytest.raises(IndexError):
+        again.ids_at([len(every)])
+    nothing = token_codes.TokenStore.write(empty, Workspace(spark, "t").path("s"), tokens.default_tokenizer())
+    assert rows(nothing.documents()) == [] and rows(nothing.directory()) == []
+
+
+def test_token_codes_split_files(spark, sf, tokenizer, monkeypatch):
+    """Many segments and files of a task: the same documents, in order of their ids."""
+    monkeypatch.setattr(token_codes, "FILE_SEGMENTS", 2)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    store = token_codes.TokenStore.write(docs, Workspace(spark, "t").path("s"), tokens.default_tokenizer(), 2, 5000)
+    got = sorted(rows(store.documents()), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted(r.doc_id for r in docs.collect())
+    assert store.directory().select("path").distinct().count() > 4
+    for r, (d, t) in zip(got, sorted(real(spark, sf).items())):
+        ids = np.append(whole(tokenizer, t), np.uint32(1)).astype("<u4")
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 # Packing --------------------------------------------------------------------------
@@ -414,6 +555,11 @@ def test_mixing_meets_its_budgets(spark):
         times[r["doc_id"], r["source"]] += 1
     assert set(d for d, _ in times) == set(range(2000))
     assert {n for (_, s), n in times.items() if s == "big"} == {1}
+    for source in ("big", "small"):  # a stream without gaps, epoch after epoch, block after block
+        stream = sorted((r["ordinal"], r["epoch"], r["block"]) for r in out if r["source"] == source)
+        assert [o for o, *_ in stream] == list(range(len(stream)))
+        runs = [k for i, (_, *k) in enumerate(stream) if not i or stream[i - 1][1:] != tuple(k)]
+        assert len(runs) == len(set(map(tuple, runs))) and [e for e, _ in runs] == sorted(e for e, _ in runs)
     assert {n for (_, s), n in times.items() if s == "small"} <= {3, 4}
 
 
