@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..runtime import ship
+from ..runtime import Workspace, ship
 
 
 #: Terms of up to so many questions are broadcast; of more, they are shuffled.
@@ -312,11 +312,13 @@ def _nearest(rows: DataFrame) -> DataFrame:
 
 
 def arms(passages: DataFrame, questions: DataFrame, index: LexicalIndex, config: RetrievalConfig = RetrievalConfig()) -> Arms:
-    rows = dense_rows(passages, questions, config)
+    """Both arms, as work tables: each is asked for its best, its best of each source, and single scores, and is made once."""
+    ws = Workspace(passages.sparkSession, "retrieve")
+    rows = ws.put("dense", dense_rows(passages, questions, config), codec="lz4")
     dense = ranked(rows.where("in_top").select("qid", "passage_id", "source_id", "cosine"), "cosine", "rank", config.depth)
-    hits = in_mask(lexical_scores(index, questions, config).where("bm25 > 0"), passages, questions)
+    hits = ws.put("hits", in_mask(lexical_scores(index, questions, config).where("bm25 > 0"), passages, questions), codec="lz4")
     lexical, first = _lexical_arm(hits, config)
-    return Arms(dense, lexical, _nearest(rows.where("NOT in_top")), first, hits)
+    return Arms(ws.put("dense-best", dense), ws.put("lexical-best", lexical), ws.put("near", _nearest(rows.where("NOT in_top"))), ws.put("first", first), hits)
 
 
 def arms_of(scored: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> Arms:

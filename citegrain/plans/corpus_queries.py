@@ -28,7 +28,7 @@ def citation_header(spark, sf_dir):
     d = _docs(spark, sf_dir)
     number = F.when(F.col("doc_id") % 3 > 0, F.concat((F.col("doc_id") % 7).cast("string"), F.lit("."), (F.col("doc_id") % 5).cast("string")))
     path = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("lang"), F.col("source"))).otherwise(F.array(F.col("lang")))
-    return d.select("doc_id", T.citation_header(F.initcap("source"), number, path, F.substring("text", 1, 20), F.col("doc_id") % 4 > 0).alias("header"))
+    return d.select("doc_id", T.citation_header(F.initcap("source"), number, path, F.col("text"), F.col("doc_id") % 4 > 0).alias("header"))
 
 
 def text_keys(spark, sf_dir):
@@ -364,7 +364,7 @@ why AS (SELECT *, CASE WHEN source_id = 'authored/triage' THEN 'authored-target'
 ORACLES = {
     "passage_ids": r"""WITH d AS (SELECT doc_id, lang, lang || '#' || substr(sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))), 1, 16) AS base FROM documents),
 n AS (SELECT *, row_number() OVER (PARTITION BY lang, base ORDER BY doc_id) AS k FROM d) SELECT doc_id, CASE WHEN k > 1 THEN base || '.' || k ELSE base END AS passage_id FROM n""",
-    "citation_header": """SELECT doc_id, upper(source[1]) || source[2:] || ' — ' || CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 3 > 0 THEN '§' || (doc_id % 7) || '.' || (doc_id % 5) || ' ' ELSE '' END || lang || ' › ' || CASE WHEN doc_id % 2 = 0 THEN source || ' › ' ELSE '' END ELSE '' END || substr(text, 1, 20) AS header FROM documents""",
+    "citation_header": """SELECT doc_id, upper(source[1]) || source[2:] || ' — ' || CASE WHEN doc_id % 4 > 0 THEN CASE WHEN doc_id % 3 > 0 THEN '§' || (doc_id % 7) || '.' || (doc_id % 5) || ' ' ELSE '' END || lang || ' › ' || CASE WHEN doc_id % 2 = 0 THEN source || ' › ' ELSE '' END ELSE '' END || text AS header FROM documents""",
     "text_keys": rf"""SELECT doc_id, sha256({_fold(_WS.format('text'))}) AS symptom, sha256(array_to_string([{_title("(doc_id % 9) || '.2 ' || line")} for line in string_split(text, chr(10))], chr(10))) AS title,
   sha256(array_to_string([regexp_replace({_fold(_WS.format('line'))}, '[0-9]+', '#', 'g') for line in string_split(text, chr(10))], chr(10))) AS furniture FROM documents""",
     "entry_keys": rf"""SELECT doc_id, sha256({_fold(_WS.format('text'))} || chr(10) || least(source, lang) || chr(10) || greatest(source, lang)) AS entry_key FROM documents""",

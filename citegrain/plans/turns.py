@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import framing, grounding, narrowing, outcomes
 from ..operators import retrieval as R
+from ..runtime import Workspace
 
 #: Events of a turn, in their order.
 EVENTS = ("outcome", "direct_answer", "body_delta", "citation", "cause", "contributing_sources", "uncovered_parts", "suggested_sources", "narrowing", "required_device", "required_manual", "ungrounded", "framing", "done")
@@ -32,28 +33,29 @@ def replay(view: dict[str, DataFrame], questions: DataFrame, gates: DataFrame, t
     itself is never called from a task.
     """
     spark = questions.sparkSession
+    ws = Workspace(spark, "turns")  # what several tables are made of is made once
     passages = _passages(view)
     index = R.LexicalIndex(view["postings"], view["lengths"], view["terms"], view["stats"])
-    supplied = R.retrieve(passages, questions, index, config)
+    supplied = ws.put("supplied", R.retrieve(passages, questions, index, config))
     covered = supplied.groupBy("qid").agg(F.count(F.lit(1)).alias("n_supplied"))
-    answers = framing.parse_answers(transcripts.select("qid", "stream"), "qid")
+    answers = ws.put("answers", framing.parse_answers(transcripts.select("qid", "stream"), "qid"))
     turns = questions.select("qid", "sources").join(gates, "qid").join(answers, "qid", "left").join(covered, "qid", "left")
-    turns = turns.withColumn("verdict", outcomes.classify(F.col("gate"), F.col("flight"), F.col("line_one"), F.col("n_supplied").isNotNull()))
+    turns = ws.put("turns", turns.withColumn("verdict", outcomes.classify(F.col("gate"), F.col("flight"), F.col("line_one"), F.col("n_supplied").isNotNull())))
     ended = lambda *names: turns.where(F.col("verdict.outcome").isin(*names))
     have = supplied.select("qid", "passage_id")
 
     expanded = {}
     if "sidecar" in view:
-        matched = _fixes(narrowing.matched_entry(supplied.select("qid", "position", "passage_id"), view["sidecar"]))
-        fixes = narrowing.fix_candidates(matched, passages.select("passage_id", "devices"), questions.select("qid", "sources", "scope"))
-        admitted = narrowing.admit(fixes, have)
-        have = have.union(admitted.where("admitted").select("qid", "passage_id")).distinct()
+        matched = ws.put("matched", _fixes(narrowing.matched_entry(supplied.select("qid", "position", "passage_id"), view["sidecar"])))
+        fixes = ws.put("fixes", narrowing.fix_candidates(matched, passages.select("passage_id", "devices"), questions.select("qid", "sources", "scope")))
+        admitted = ws.put("admitted", narrowing.admit(fixes, have))
+        have = ws.put("have", have.union(admitted.where("admitted").select("qid", "passage_id")).distinct())
         expanded = {"causes": narrowing.causes_of(matched, admitted), "narrowing": narrowing.narrowing(matched), "suggested": narrowing.suggested_sources(fixes)}
-    causes = _causes(expanded.get("causes"), ended("ranked-causes"), have)
+    causes = ws.put("causes", _causes(expanded.get("causes"), ended("ranked-causes"), have))
     narrowed = _narrowing(expanded.get("narrowing"), ended("needs-narrowing"))
 
     texts = grounding.block_texts(answers, "qid")
-    uses = grounding.marker_uses(texts, have, "qid")
+    uses = ws.put("uses", grounding.marker_uses(texts, have, "qid"))
     cited = grounding.citations(uses, "qid")
     # What causes cite is numbered behind what the answer does; a cause without a fix marks its own citation.
     more = causes.select("qid", "rank", F.posexplode(F.concat("cites", "fix_cites")).alias("nth", "passage_id")).join(have, ["qid", "passage_id"], "left_semi")
@@ -66,7 +68,7 @@ def replay(view: dict[str, DataFrame], questions: DataFrame, gates: DataFrame, t
     return {
         "turns": turns.select("qid", "verdict.*", "framing", "direct_answer", "uncovered", outcomes.view_of(F.col("verdict.outcome")).alias("view")),
         "supplied": supplied,
-        "citations": grounding.build_citations(numbered, view["passages"], view["sources"], bare, "qid"),
+        "citations": ws.put("citations", grounding.build_citations(numbered, view["passages"], view["sources"], bare, "qid")),
         "causes": causes,
         "narrowing": narrowed,
         "suggested": suggested,
