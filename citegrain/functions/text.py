@@ -188,18 +188,21 @@ def without_markers(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, MARKER, ""), r"(?U)\s{2,}", " "))
 
 
-def keep_known_markers(c: Column, known: Column) -> Column:
-    """Struct (text, stripped): markers outside ``known`` go, with the white space they leave.
+def clean_delta(c: Column, known: Column) -> Column:
+    """A piece of a stream without the markers outside ``known``; white space stays as it came, as pieces are put together again.
 
     The text is cut at its markers, and each piece is put back with its marker
     or without.
     """
-    ids = markers(c)
     pieces = F.split(c, MARKER, -1)
-    kept = F.transform(ids, lambda m: F.when(F.array_contains(known, m), F.concat(F.lit("[[p:"), m, F.lit("]]"))).otherwise(F.lit("")))
-    body = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    gone = F.size(F.filter(ids, lambda m: ~F.array_contains(known, m)))
-    return F.struct(F.trim(F.regexp_replace(body, r"(?U)\s{2,}", " ")).alias("text"), gone.alias("stripped"))
+    kept = F.transform(markers(c), lambda m: F.when(F.array_contains(known, m), F.concat(F.lit("[[p:"), m, F.lit("]]"))).otherwise(F.lit("")))
+    return F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(kept, i), F.lit("")))), "")
+
+
+def keep_known_markers(c: Column, known: Column) -> Column:
+    """Struct (text, stripped): markers outside ``known`` go, with the white space they leave."""
+    gone = F.size(F.filter(markers(c), lambda m: ~F.array_contains(known, m)))
+    return F.struct(F.trim(F.regexp_replace(clean_delta(c, known), r"(?U)\s{2,}", " ")).alias("text"), gone.alias("stripped"))
 
 
 def numeric_literals(c: Column) -> Column:

@@ -80,7 +80,8 @@ def write_shards(spark: SparkSession, root: str, passages: DataFrame, meta: Data
 
 
 def read_metas(spark: SparkSession, root: str) -> DataFrame | None:
-    return spark.read.parquet(f"{root}/{META_TABLE}") if exists(spark, f"{root}/{META_TABLE}") else None
+    """A row for each shard; a meta file that can't be read is passed over, and its shard built again. None without any."""
+    return spark.read.option("ignoreCorruptFiles", True).parquet(f"{root}/{META_TABLE}") if exists(spark, f"{root}/{META_TABLE}") else None
 
 
 def read_shards(spark: SparkSession, root: str) -> DataFrame:
@@ -88,6 +89,11 @@ def read_shards(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{PASSAGE_TABLE}").join(read_metas(spark, root).select("source_id"), "source_id", "left_semi")
 
 
+def read_shard(spark: SparkSession, root: str, source_id: str) -> DataFrame:
+    """Passages of one committed shard, by its partition alone; no rows if there is none."""
+    return read_shards(spark, root).where(F.col("source_id") == source_id)
+
+
 def remove_sources(spark: SparkSession, root: str, source_ids: list[str]) -> None:
     """Deletes whole partitions, the meta row first, so that a shard half deleted reads as none."""
     for s in source_ids:

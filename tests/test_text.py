@@ -108,3 +108,26 @@ def test_claim_terms():
 def test_canonical_is_stable(text):
     once = words.canonical_text(text)
     assert words.canonical_text(once) == once and "  " not in once
+
+
+def test_seams(spark):
+    """State that is late, broken or not there leaves a turn without; a script answers what it knows."""
+    from pyspark.sql import functions as F
+
+    from citegrain.sources import seams
+
+    q = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    rows = spark.createDataFrame([(1, "tempo", "120", 20.0), (2, "tempo", "90", 140.0), (9, "tempo", "1", 1.0)], "qid long, key string, value string, latency_ms double")
+    rows = rows.withColumns({"observed_at": F.current_timestamp(), "now": F.current_timestamp(), "origin": F.lit("live"), "origin_kind": F.lit("session")})
+    assert [(r.qid, r.value) for r in seams.acquired_state(seams.StateTable(rows), q).collect()] == [(1, "120")]
+    assert seams.acquired_state(None, q).count() == 0 and seams.acquired_state(seams.StateTable(rows.drop("latency_ms")), q).count() == 0
+    script = spark.createDataFrame([(2, "answered\nyes")], "qid long, stream string")
+    assert {r.qid: r.stream for r in seams.ScriptedProvider(script).answer(q.withColumn("prompt", F.lit("?"))).collect()} == {1: None, 2: "answered\nyes", 3: None}
+
+
+def test_delta_keeps_white_space(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(" a  [[p:x]] b [[p:y]]\n", ["x"])], "t string, known array<string>")
+    r = df.select(T.clean_delta(F.col("t"), F.col("known")).alias("d"), T.keep_known_markers(F.col("t"), F.col("known")).alias("k")).first()
+    assert r.d == " a  [[p:x]] b \n" and r.k.text == "a [[p:x]] b" and r.k.stripped == 1
