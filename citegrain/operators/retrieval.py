@@ -150,10 +150,12 @@ def lexical_scores(index: LexicalIndex, questions: DataFrame, config: RetrievalC
         wanted = F.broadcast(wanted)
     postings, terms = (t.join(wanted, "term", "left_semi") for t in (index.postings, index.terms))
     known = asked.join(terms, "term").crossJoin(F.broadcast(index.stats))
-    weighed = known.select("qid", "term", "n", "avgdl", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"), (F.col("df") <= config.rare_share * F.col("n")).alias("rare"))
-    hits = postings.join(weighed, "term").join(index.lengths, "passage_id")
+    weighed = known.select("qid", "term", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("weight"), (F.col("df") <= config.rare_share * F.col("n")).alias("rare"))
+    # What a term adds to a passage is worked out once, before the questions multiply the postings.
     tf = F.col("tf") / (F.col("tf") + config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("qid", "passage_id").agg(F.round(F.sum(F.col("weight") * tf), config.digits).alias("bm25"), F.max("rare").alias("rare"))
+    impact = postings.join(index.lengths, "passage_id").crossJoin(F.broadcast(index.stats.select("avgdl"))).select("term", "passage_id", tf.alias("impact"))
+    hits = impact.join(weighed, "term")
+    return hits.groupBy("qid", "passage_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), config.digits).alias("bm25"), F.max("rare").alias("rare"))
 
 
 def ranked(scores: DataFrame, score: str, name: str, depth: int, *more: str) -> DataFrame:
