@@ -6,10 +6,10 @@ in the order of their regions. A shard has a ball: a centre, a radius and its
 longest vector's length, so no vector in it scores more than ``q . c + |q| * r``
 or ``|q| * |v|``.
 
-The search goes in waves. In the first, each query goes to the shards of
-highest bound until these hold some thousands of vectors; later waves take in
-nine times as many, but only shards whose bound reaches the query's k-th score
-so far. Only those pairs travel, a block's queries together. In a shard,
+The search goes in waves. In the first, each query goes to the shard of highest
+bound; later waves take in eight shards more, and then nine times as many, but
+only those whose bound reaches the query's k-th score so far. Only those pairs
+travel, a block's queries together. In a shard,
 queries descend its ball tree by falling bound; a query leaves out a node, and
 with it all below, once its k-th score is above the node's bound. A wave's best
 k are kept, and their last is the k-th score of the next.
@@ -32,8 +32,8 @@ from ..runtime import Workspace, ship
 K, EVERY, SCALE = 20, 20, 64
 #: Vectors of a shard, of a tree's leaf, and queries of a block.
 SHARD, LEAF, QUERY_BLOCK = 8192, 64, 1024
-#: Vectors that the first wave looks at for a query; by how much later waves are larger.
-FIRST_WAVE, GROWTH = 8192, 8
+#: The first wave's shards for a query are those with fewer vectors than this in front of them: one. By how much later waves are larger: each adds about k hits so many times.
+FIRST_WAVE, GROWTH = 1, 8
 #: Shards whose balls are held at a time (half a kilobyte each); more are searched one lot after the other.
 LOT = 8192
 #: The sample that the coarse tree is made of, and its leaves at most. They decide which vectors lie together, never what is found.
@@ -339,6 +339,7 @@ def exact_top_k(ws: Workspace, table: DataFrame) -> DataFrame:
         balls = _balls(mine)
         shared = spark.sparkContext.broadcast(balls)
         total = max((int(b[1].sum()) for b in balls.values()), default=0)
+        mean = max((-(-int(b[1].sum()) // len(b[1])) for b in balls.values()), default=1)
         low, high = 0, FIRST_WAVE
         while low < total:
             last = best.where(F.col("rank") == K).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
@@ -352,7 +353,7 @@ def exact_top_k(ws: Workspace, table: DataFrame) -> DataFrame:
             wave += 1
             best = ws.put(f"best-{wave}", _ranked(hits))
             ws.drop(f"asked-{wave}")
-            low, high = high, high * (GROWTH + 1)
+            low, high = high, high * (GROWTH + 1) if low else high + GROWTH * mean
     return best.select("query_id", "rank", "vec_id", "score")
 
 
